@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import identify_languages
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,31 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))[0]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo folds: the held-out split of the contracts."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold("doc_id", 5) == 0
+    return identify_languages(docs, train=~held).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
