@@ -1,6 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Shingles are ordered rare class first, then frequent class, by hash within a class. Two sets with Jaccard >= t share at
+Shingles are ordered by class of document frequency (one, some, frequent), by hash within a class. Those of one document
+fill the prefix first and need no index, so what documents merely share, such as a passage, seldom is in it. Two sets with Jaccard >= t share at
 least k tokens in prefixes of length n - ceil(t n) + k. With k = 2, a rare token of the prefix is indexed alone and
 frequent ones in combinations of two, so that either a shared rare token or a shared combination brings a pair together.
 Sets of over `combo_size` shingles would need too many combinations; they index each token of their ordinary (k = 1)
@@ -117,18 +118,18 @@ def _index_keys(width: int, percent: int, combo_size: int, buckets: int, seen_b,
             often = frequent[at] == short
         else:
             often = np.zeros(n, bool)
-        rare_n = n - int(often.sum())
-        order = np.concatenate([s[~often], s[often]])
-        need = -(-percent * n // 100)
-        combos, solo = n <= combo_size, n >= solo_from
-        one, two = n - need + 1, min(n, n - need + 2)
-        rare = order[: min(rare_n, two if combos else one)]
-        short = rare >> np.uint64(64 - CLASS_BITS)
         bucket = (short >> np.uint64(rest)).astype(np.int64)
         low = short & np.uint64((1 << rest) - 1)
         slot = (low >> np.uint64(max(0, rest - bits))).astype(np.int64) % (1 << bits)
         slot += bucket << bits
-        out = [rare[(seen[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]]
+        again = (seen[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+        once, some = s[~again & ~often], s[again & ~often]
+        rare_n = n - int(often.sum())
+        order = np.concatenate([once, some, s[often]])
+        need = -(-percent * n // 100)
+        combos, solo = n <= combo_size, n >= solo_from
+        one, two = n - need + 1, min(n, n - need + 2)
+        out = [order[len(once) : min(rare_n, two if combos else one)]]
         if solo and one > rare_n:
             out.append(mix(order[rare_n:one] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         if combos and two - rare_n >= 2:
