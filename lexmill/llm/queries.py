@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .language_id import identify_languages
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .toxicity import toxicity
+from .vector_search import nearest_neighbours
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,22 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 4) == 2
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity(docs, labels.where(~held), calibrate=fold("doc_id", 4) == 1)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "log_ratio", "word_log_ratio")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold("doc_id", 5) == 0
@@ -42,8 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_vector_search": op8_vector_search,
     "op10_language_id": op10_language_id,
 }
 

@@ -27,6 +27,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound the rows of an Arrow batch in this session: whole texts can be long, and a batch is in memory twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key) or 10_000) <= rows:
+        spark.conf.set(key, rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for inner use that clash with none of df's, without regard to case."""
     taken, out = {c.lower() for c in df.columns}, []
