@@ -11,6 +11,7 @@ from .language_id import identify_languages
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .toxicity import toxicity
+from .url_filter import filter_urls
 from .vector_search import nearest_neighbours
 
 
@@ -49,6 +50,14 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+#: Fixed values of op9's contract.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold("doc_id", 5) == 0
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_vector_search": op8_vector_search,
+    "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
 
