@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .language_id import identify_languages
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .pii import find_pii
 from .toxicity import toxicity
 from .url_filter import filter_urls
 from .vector_search import nearest_neighbours
@@ -34,6 +35,10 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 4) == 2
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -65,6 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
