@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .language_id import identify_languages
+from .license_scan import license_scan
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .pii import find_pii
+from .quality import quality
 from .toxicity import toxicity
 from .url_filter import filter_urls
 from .vector_search import nearest_neighbours
@@ -36,6 +38,12 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files source/lang/doc_id.txt."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(_table(spark, sf_dir, "documents"), path)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +59,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "log_ratio", "word_log_ratio")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).withColumn("keep", F.col("score") >= 0.5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
 
@@ -75,9 +87,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_vector_search": op8_vector_search,
