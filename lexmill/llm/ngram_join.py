@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import mix, saved, shingle_sets
+from .shared import mix, saved, shingle_sets, small_batches
 
 CLASS_BITS = 40  # of a shingle's hash, for its frequency class alone
 SEEN_BITS = 27  # of the map of shingles that occur twice: 16 MB at every size
@@ -158,17 +158,21 @@ def _index_keys(width: int, percent: int, combo_size: int, buckets: int, seen_b,
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, held, texts = [], b"", batch.column("text")
+            texts = batch.column("text")
             ids = batch.column("doc").to_pylist()
             same = pc.equal(texts.slice(1), texts.slice(0, max(len(ids) - 1, 0))).to_pylist()
             new = [i for i, d in enumerate(ids) if i == 0 or d != ids[i - 1] or not same[i - 1]]
-            made = {i: s.tobytes() for i, s in zip(new, shingle_sets(texts.take(pa.array(new, pa.int64())), width), strict=True)}
+            made = zip(new, shingle_sets(texts.take(pa.array(new, pa.int64())), width), strict=True)
+            ahead, at, held, sets, size = next(made, None), 0, b"", [], 0
             for i in range(len(ids)):
-                held = made.get(i, held)
+                if ahead and ahead[0] == i:
+                    held, ahead = ahead[1].tobytes(), next(made, None)
                 sets.append(held)
-            for lo in range(0, len(ids), 2000):
-                part = batch.slice(lo, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc", "pivot", "block", "blocks", "role")] + [pa.array(sets[lo : lo + 2000], pa.binary())], ["doc", "pivot", "block", "blocks", "role", "tokens"])
+                size += len(held)
+                if size >= 1 << 22 or i == len(ids) - 1:
+                    part = batch.slice(at, len(sets))
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc", "pivot", "block", "blocks", "role")] + [pa.array(sets, pa.binary())], ["doc", "pivot", "block", "blocks", "role", "tokens"])
+                    at, sets, size = i + 1, [], 0
 
     return run
 
@@ -245,6 +249,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smaller id. Extra columns of docs play no part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets, seen, frequent = _classes(docs, "text", width)
     run = _index_keys(width, percent, combo_size, buckets, spark.sparkContext.broadcast(seen), spark.sparkContext.broadcast(frequent))

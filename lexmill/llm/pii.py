@@ -12,7 +12,7 @@ import bisect
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +190,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
 
 
-def _find(model_b, with_text: bool):
+def _find(model_b, with_text: bool, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -209,6 +209,9 @@ def _find(model_b, with_text: bool):
             if with_text:
                 cols.append(pa.array([texts.get(r, t) for r, t in enumerate(batch.column(1).to_pylist())], pa.string()))
                 names.append("redacted")
+            for k in range(2, 2 + kept):
+                cols.append(batch.column(k))
+                names.append(f"kept{k}")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -230,8 +233,9 @@ def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     return SpanModel(np.array([rows[i][0] for i in order]), np.array([rows[i][1] for i in order], float))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and redacted) of every row, repeated rows included.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and redacted) of every row, repeated rows included,
+    with the columns of docs named in keep (of those names that the result has itself, docs' columns win).
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Null texts count as empty, with null
     redacted. Where proposals give no model (none, or all alike), only base spans are found. Base spans of different kinds
@@ -239,6 +243,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_spans(docs, text_col))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {dict(own.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return own.mapInArrow(_find(model, redacted), schema + ", redacted string" * redacted)
+    more = [F.col(c).alias(f"kept{k}") for k, c in enumerate(keep, 2)]
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
+    schema = f"doc_id {dict(own.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * redacted
+    schema += "".join(f", kept{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep, 2))
+    out = own.mapInArrow(_find(model, redacted, len(keep)), schema)
+    taken = {c.lower() for c in keep}
+    return out.select(*[c for c in out.columns[: len(out.columns) - len(keep)] if c.lower() not in taken], *[F.col(f"kept{k}").alias(c) for k, c in enumerate(keep, 2)])

@@ -1,12 +1,50 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of docs, but for packing.
+
+docs has at least doc_id, text and lang; n_chars, where present, follows the text. A stage reads what its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .decontamination import contamination
+from .language_id import UNKNOWN, identify_languages
+from .ngram_join import ngram_jaccard_join
+from .packing import pack
+from .pii import find_pii
+from .queries import fold, tokenizer_path
+from .shared import saved
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (null texts, or no letter); automata learn from the labelled folds."""
+    judged = saved(identify_languages(docs, train=fold("doc_id", 5) != 0).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(judged, docs.doc_id.eqNullSafe(judged.gone), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component the document with the smallest id; documents without a word are alone."""
+    classes, _ = ngram_jaccard_join(docs)
+    later = saved(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(later, docs.doc_id == later.gone, "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak a benchmark item."""
+    leaks = saved(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(leaks, docs.doc_id == leaks.gone, "left_anti")
 
 
-def _todo(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in brackets; no document goes."""
+    found = find_pii(docs, redacted=True, keep=docs.columns)
+    text = found.withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return text.select(docs.columns)
 
 
-language_id = near_duplicates = decontamination = pii = packing = _todo
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, in sequences of 2048 tokens."""
+    return pack(docs, tokenizer_path(), keep_ids=False).drop("ids")
