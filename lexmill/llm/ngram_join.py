@@ -30,6 +30,7 @@ from .shared import mix, saved, shingle_sets, small_batches
 CLASS_BITS = 40  # of a shingle's hash, for its frequency class alone
 SEEN_BITS = 27  # of the map of shingles that occur twice: 16 MB at every size
 MAX_FREQUENT = 1 << 18  # the frequent class is broadcast: 2 MB at most
+CANDIDATE_BITS = 26  # of the map of documents to compare: 8 MB at every size
 FREQUENT = 16  # least document frequency of the frequent class
 
 
@@ -155,6 +156,43 @@ def _index_keys(width: int, percent: int, combo_size: int, buckets: int, seen_b,
     return run
 
 
+def _candidate_slots(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - CANDIDATE_BITS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s = np.unique(_candidate_slots(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(s >> 16, pa.int32()), pa.array(s & 0xFFFF, pa.int32())], ["part", "slot"])
+
+
+def _bits(table: pa.Table) -> pa.Table:
+    marked = np.zeros(1 << 16, bool)
+    marked[table.column("slot").to_numpy()] = True
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(marked).tobytes()], pa.binary())})
+
+
+def _candidates_only(marks_b):
+    """Texts of documents in the map; what it lets through in error finds no partner in the join that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = marks_b.value
+        for batch in batches:
+            s = _candidate_slots(batch.column(0))
+            yield batch.filter(pa.array((marks[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
+def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    parts = wanted.select("doc").distinct().mapInArrow(_slots, "part int, slot int").distinct().groupBy("part").applyInArrow(_bits, "part int, bits binary")
+    marks = np.zeros(1 << (CANDIDATE_BITS - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        marks[r.part << 13 : (r.part + 1) << 13] = np.frombuffer(r.bits, np.uint8)
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+    return own.mapInArrow(_candidates_only(docs.sparkSession.sparkContext.broadcast(marks)), "doc long, text string")
+
+
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,9 +301,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = roles.join(weight, "pivot").select(F.col("rep").alias("doc"), "pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks", F.lit("m").alias("role"))
     pivot = weight.select(F.col("pivot").alias("doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.lit("p").alias("role"))
     wanted = saved(member.unionAll(pivot))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    if_repeated = wanted.join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text")
-    sets = if_repeated.mapInArrow(_with_sets(width), "doc long, pivot long, block int, blocks int, role string, tokens binary")
+    texts = _candidate_texts(docs, wanted)
+    sets = wanted.join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(_with_sets(width), "doc long, pivot long, block int, blocks int, role string, tokens binary")
     first = saved(sets.groupBy("pivot", "block").applyInArrow(_verify(percent), "a long, b long, kind int"))
     # Members of pivots with several blocks that don't link with their pivot go to its other blocks.
     far = first.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("pivot")).distinct()

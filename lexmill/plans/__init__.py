@@ -1 +1,3 @@
-"""plans of the library."""
+"""Queries over the driver's tables; importing this registers them."""
+
+from lexmill.plans import documents, events, quality, records, retrieval  # noqa: F401
