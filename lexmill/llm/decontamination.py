@@ -76,16 +76,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     cut = own.select("doc_id", F.posexplode(windows(template(words(F.col("text"))), width)).alias("pos", "h"))
     hits = cut.join(F.broadcast(spread) if few else spread, "h")
-    lines = hits.groupBy("doc_id", "item_id", "i_windows", (F.col("pos") - F.col("i_pos")).alias("shift")).agg(F.min("i_pos").alias("lo"), F.max("i_pos").alias("hi"), F.collect_set("i_pos").alias("found"))
+    lines = hits.groupBy("doc_id", "item_id", "i_windows", (F.col("pos") - F.col("i_pos")).alias("shift")).agg(F.collect_set("i_pos").alias("found"))
     enough = F.least(F.lit(MIN_WINDOWS), F.ceil(F.col("i_windows") * MIN_SHARE))
-    # Slots of each alignment, from the texts of the documents that have one.
-    texts = lines.join(items, "item_id").join(own, "doc_id")
-    pairs = texts.select("doc_id", "item_id", "i_windows", "found", F.col("hi").alias("hi"), F.col("lo").alias("lo"), "shift", "i_raw", "i_words", words(F.col("text")).alias("raw"))
-    length = F.col("hi") - F.col("lo") + width
-    mine, theirs, kinds = F.slice("raw", F.greatest(F.col("lo") + F.col("shift"), F.lit(0)) + 1, length), F.slice("i_raw", F.col("lo") + 1, length), F.slice("i_words", F.col("lo") + 1, length)
+    # Slots of each alignment, under the windows found alone, from the texts of the documents that have one.
+    pairs = lines.select("doc_id", "item_id", "i_windows", "found", "shift").join(items, "item_id").join(own, "doc_id").withColumn("raw", words(F.col("text")))
+    under = F.array_distinct(F.flatten(F.transform("found", lambda i: F.sequence(i, i + (width - 1)))))
     clean = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    zipped = F.filter(F.arrays_zip(kinds.alias("kind"), theirs.alias("theirs"), mine.alias("mine")), lambda z: z["kind"].isin(SLOTS))
-    slots = F.transform(zipped, lambda z: F.struct(z["kind"].alias("kind"), clean(z["theirs"]).alias("theirs"), clean(z["mine"]).alias("mine")))
+    slot = lambda p: F.struct(F.get("i_words", p).alias("kind"), clean(F.get("i_raw", p)).alias("theirs"), clean(F.get("raw", p + F.col("shift"))).alias("mine"))
+    slots = F.transform(F.filter(under, lambda p: F.get("i_words", p).isin(SLOTS)), slot)
     seen = pairs.select("doc_id", "item_id", "i_windows", "found", slots.alias("slots")).withColumn("kinds", F.array_distinct("slots"))
     consistent = F.size(F.array_distinct(F.transform("kinds", lambda z: F.struct(z["kind"], z["theirs"])))) == F.size("kinds")
     changed = F.size(F.filter("slots", lambda z: ~z["theirs"].eqNullSafe(z["mine"])))
