@@ -168,15 +168,16 @@ def _scorer(model_b, stretch: int):
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, rows: int, chars: int) -> list[tuple[str, str]]:
-    """At most `chars` characters each of about `rows` labelled texts a language, chosen by hash of the id: the
-    languages' counts come from all rows, and the share to take from them."""
+    """A passage of at most `chars` characters, from a place chosen by hash, of each of about `rows` labelled texts a
+    language, themselves chosen by hash of the id: the share to take comes from the languages' counts over all rows."""
     labelled = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 1.5 * rows / v))])
     draw = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20)).alias("draw")
-    taken = labelled.select(F.col(lang_col).alias("lang"), draw, share[F.col(lang_col)].alias("share"), F.substring(text_col, 1, chars).alias("text")).where("draw < share")
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.greatest(F.length(text_col) - chars, F.lit(0)) + 1).cast("int") + 1
+    taken = labelled.select(F.col(lang_col).alias("lang"), draw, share[F.col(lang_col)].alias("share"), F.substring(F.col(text_col), place, F.lit(chars)).alias("text")).where("draw < share")
     by: dict[str, list] = {}
     for r in sorted(taken.collect(), key=lambda r: (r.lang, r.draw, r.text)):
         own = by.setdefault(r.lang, [])
@@ -188,8 +189,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, rows: int = 60, chars: int = 600, stretch: int = 256) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) of every row of docs, repeated rows included.
 
-    Automata are fitted on a bounded sample: about `rows` rows with a label (and where `train` holds) a language, their
-    first `chars` characters each; all texts are then parsed whole. Null texts and texts without a letter are `und`
+    Automata are fitted on a bounded sample: about `rows` rows with a label (and where `train` holds) a language, a
+    passage of `chars` characters each; all texts are then parsed whole. Null texts and texts without a letter are `und`
     with score 0, as is everything if no labelled text exists. Ties go to the language first by name.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if train is None else train).alias("train"))
