@@ -42,7 +42,7 @@ _SALT = np.random.default_rng(9).integers(1, 2**63, 33, dtype=np.uint64) * np.ui
 _REST = 32  # salt of a history's slot for symbols that it lacks
 
 
-def grams(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some rows together: hash of h, x, id of h' x, and the first position of each row with the end last. Runs of
     separators count as one; each text starts after a separator and ends with one."""
     data, offs = byte_view(column)
@@ -84,23 +84,25 @@ def slots(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a partition, by bucket of h: distinct (h, x) with their h' x, and counts by kind. In: text, kind of text
     (1: toxic, 2: for calibration)."""
-    keys, lows, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 4), np.int32)
-    mask = ~np.uint64(31)
+    held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int32)]
+    mask, waiting = ~np.uint64(31), 0
     for batch in batches:
         kind, at = batch.column(1).to_numpy(zero_copy_only=False), 0
         for h, x, low, row in grams(batch.column(0)):
             y = np.repeat(kind[at : at + len(row) - 1], np.diff(row)).astype(np.int64)
             at += len(row) - 1
-            keys = np.concatenate([keys, (h & mask) | x.astype(np.uint64)])
-            lows = np.concatenate([lows, low])
             own = np.zeros((len(x), 4), np.int32)
             own[np.arange(len(x)), y] = 1
-            counts = np.concatenate([counts, own])
-            keys, lows, counts = _merged(keys, lows, counts)
-            if len(keys) > 1_000_000:
-                yield from _packed(keys, lows, counts)
-                keys, lows, counts = keys[:0], lows[:0], counts[:0]
-    yield from _packed(keys, lows, counts)
+            for parts, new in zip(held, ((h & mask) | x.astype(np.uint64), low, own), strict=True):
+                parts.append(new)
+            waiting += len(x)
+            if waiting >= 1 << 19:
+                got, waiting = _merged(*map(np.concatenate, held)), 0
+                held = tuple([g] for g in got)
+                if len(got[0]) > 700_000:
+                    yield from _packed(*got)
+                    held = tuple([g[:0]] for g in got)
+    yield from _packed(*_merged(*map(np.concatenate, held)))
 
 
 def _merged(keys: np.ndarray, lows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,6 +296,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, calibrate: Column, id_col: str
     share = min(1.0, MAX_CALIBRATION / max(totals[1], 1))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     fit = known.where(F.col("later") & drawn).select("text", "label").mapInArrow(_features(fitted), "mean double, top double, three double, size double, label int").collect()
+    fitted.unpersist()  # the scores need the full table alone
     x, y = np.array([r[:4] for r in fit]).reshape(-1, 4), np.array([r[4] for r in fit], float)
     if len(y) and 0 < y.sum() < len(y):
         curve = fit_logistic(x, y)
