@@ -8,9 +8,12 @@ depends on i, a monotone queue over the sliding window finds each minimum in con
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import byte_view, chunks, small_batches
+
 END_OF_TEXT = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
@@ -54,53 +59,75 @@ def plan_cuts(ends: np.ndarray, penalty: np.ndarray, size: int, open_end: bool =
 
 class _Words:
     """Token ids of space-delimited words, kept for words met before. Encoding word by word equals encoding the text:
-    the tokenizer drops white space and never joins across it."""
+    the tokenizer drops white space, never joins across it, and parts letters from punctuation."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in turn, and how many each has."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {w: self.known[w] for w in words if w in self.known}
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in words]
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.fromiter(map(len, ids), np.int64, len(ids))
+        self.most = most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in store, and where each of the distinct words begins there and how many ids it has."""
+        at = pc.index_in(words, self.known)
+        if at.null_count:
+            if len(self.known) and len(self.known) + at.null_count > self.most:
+                self._reset()
+                at = pc.index_in(words, self.known)
+            new = words.filter(at.is_null())
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.known = pa.concat_arrays([self.known, new])
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))])
+            fresh = at.is_null().to_numpy(zero_copy_only=False)
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).copy()
+            at[fresh] = len(self.known) - len(new) + np.arange(len(new))
+        else:
+            at = at.to_numpy(zero_copy_only=False)
+        return self.ids, self.begin[at], self.size[at]
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> _Words:
+    """One store for all tasks of a worker process."""
+    return _Words(path)
 
 
 def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty."""
-    step = 256
-    for lo in range(0, len(column), step):
-        part = column.slice(lo, step)
-        if part.null_count:
-            part = part.fill_null("")
+    for lo, hi in chunks(byte_view(column)[1], 1 << 22):
+        part = pc.fill_null(column.take(pa.array(np.arange(lo, hi))).cast(pa.string()), "")  # a copy without an offset
+        # Case is dropped anyway, and a mark behind a letter is a word of its own: so words recur more often.
+        part = pc.replace_substring(pc.ascii_lower(part), "\n", " \n ")
+        part = pc.replace_substring_regex(part, r"([a-z0-9])([.,!?;:])( |$)", r"\1 \2\3")
         split = pc.split_pattern(part, " ")
         coded = split.flatten().dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        ids, size = words.encode(unique)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        closing = np.array([w.endswith((".", "!", "?", ".\n")) or "\n" in w for w in unique], bool)
+        ids, begin, size = words.encode(coded.dictionary)
+        closing = pc.match_substring_regex(coded.dictionary, r"[.!?]$|\n").to_numpy(zero_copy_only=False)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offs = split.offsets.to_numpy().astype(np.int64)
         offs = offs - offs[0]
+        n = size[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.arange(ends[-1]) + np.repeat(begin[code] - ends[:-1], n)]
+        stop = closing[code]
         for r in range(len(part)):
-            c = code[offs[r] : offs[r + 1]]
-            n = size[c]
-            total = int(n.sum())
-            ends = np.cumsum(n)
-            at = np.arange(total) + np.repeat(begin[c] - (ends - n), n)
+            a, b = int(offs[r]), int(offs[r + 1])
+            first, total = ends[a], int(ends[b] - ends[a])
             out = np.empty(total + 1, np.uint32)
-            out[:-1] = ids[at]
+            out[:-1] = flat[first : first + total]
             out[-1] = END_OF_TEXT
-            stops = ends[closing[c]]
-            yield out, np.unique(stops[(stops > 0) & (stops < total)])
+            stops = ends[a + 1 : b + 1][stop[a:b]] - first
+            stops = stops[(stops > 0) & (stops < total)]  # ascending; equal where a mark adds no id
+            yield out, stops[np.concatenate([[True], stops[1:] != stops[:-1]])] if len(stops) else stops
 
 
 def _packer(path: str, size: int, inside: float, broken: float, reach: int, block: int, keep_ids: bool):
@@ -147,7 +174,7 @@ def _packer(path: str, size: int, inside: float, broken: float, reach: int, bloc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, serial, words = TaskContext.get().partitionId(), 0, _Words(path)
+        shard, serial, words = TaskContext.get().partitionId(), 0, _words(path)
         docs, stops, held = [], [], 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -187,4 +214,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ids_crc32, doc_tokens, sequence_id (partition and serial), offset, ids (null unless keep_ids). Null and empty texts
     are their end token alone. Repeated rows are packed as often as given; null ids stay null.
     """
+    small_batches(docs.sparkSession, 2_000)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(tokenizer_path, size, inside, broken, reach, block, keep_ids), SCHEMA)
