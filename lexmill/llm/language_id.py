@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_view, chunks
+from .shared import byte_view, chunks, tidy
 
 UNKNOWN = "und"
 _WIDE = 0x3000
@@ -197,4 +197,4 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     model = learn(training_sample(own, "doc_id", "text", "lang", F.col("train"), rows, chars))
     run = _scorer(docs.sparkSession.sparkContext.broadcast(model), stretch)
     kind = dict(own.dtypes)["doc_id"]
-    return own.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return own.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")

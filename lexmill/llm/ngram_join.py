@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import mix, saved, shingle_sets, small_batches
+from .shared import mix, saved, shingle_sets, small_batches, tidy
 
 CLASS_BITS = 40  # of a shingle's hash, for its frequency class alone
 SEEN_BITS = 27  # of the map of shingles that occur twice: 16 MB at every size
@@ -88,7 +88,7 @@ def _classes(docs: DataFrame, text_col: str, width: int) -> tuple[int, np.ndarra
     """Buckets, the bitmap of shingles in two documents or more, and the frequent class; counted over all documents."""
     rows = docs.count()
     buckets = 1 << min(24, max(6, math.ceil(math.log2(max(rows, 1) / 1000 + 1))))
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_packed_counts(width, buckets), "bucket long, packed binary")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_packed_counts(width, buckets)), "bucket long, packed binary")
     merged = saved(counted.groupBy("bucket").applyInArrow(_merge_counts(buckets), "bucket long, seen binary, token array<long>, df array<long>"))
     tokens = merged.select(F.explode(F.arrays_zip("token", "df")).alias("z")).select("z.token", "z.df")
     # The least power of two, FREQUENT at least, above which at most MAX_FREQUENT tokens lie.
@@ -291,7 +291,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets, seen, frequent = _classes(docs, "text", width)
     run = _index_keys(width, percent, combo_size, buckets, spark.sparkContext.broadcast(seen), spark.sparkContext.broadcast(frequent))
-    indexed = saved(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rare long, fp binary, keys array<long>"))
+    indexed = saved(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, rare long, fp binary, keys array<long>"))
     # One representative of each set; copies share their keys and so need no comparison.
     classes = saved(indexed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("keys").alias("keys")))
     index = classes.select("rep", "n", "rare", F.explode("keys").alias("key"))
@@ -302,7 +302,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivot = weight.select(F.col("pivot").alias("doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.lit("p").alias("role"))
     wanted = saved(member.unionAll(pivot))
     texts = _candidate_texts(docs, wanted)
-    sets = wanted.join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(_with_sets(width), "doc long, pivot long, block int, blocks int, role string, tokens binary")
+    sets = wanted.join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(tidy(_with_sets(width)), "doc long, pivot long, block int, blocks int, role string, tokens binary")
     first = saved(sets.groupBy("pivot", "block").applyInArrow(_verify(percent), "a long, b long, kind int"))
     # Members of pivots with several blocks that don't link with their pivot go to its other blocks.
     far = first.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("pivot")).distinct()
@@ -310,7 +310,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = wide.join(far, ["doc", "pivot"]).select("doc", "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks", "block").where("other <> block").select("doc", "pivot", F.col("other").alias("block"), "blocks", F.lit("o").alias("role"))
     edges = first.where("kind = 0").select("a", "b")
     if far.limit(1).count():
-        again = saved(wide.unionAll(asked)).join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(_with_sets(width), sets.schema)
+        again = saved(wide.unionAll(asked)).join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(tidy(_with_sets(width)), sets.schema)
         edges = edges.unionAll(again.groupBy("pivot", "block").applyInArrow(_verify(percent), "a long, b long, kind int").where("kind = 0").select("a", "b"))
     edges = saved(edges.distinct())
     found = connected_components(edges)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_view, chunks, small_batches
+from .shared import byte_view, chunks, small_batches, tidy
 
 END_OF_TEXT = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -215,4 +215,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     are their end token alone. Repeated rows are packed as often as given; null ids stay null.
     """
     small_batches(docs.sparkSession, 2_000)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(tokenizer_path, size, inside, broken, reach, block, keep_ids), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_packer(tokenizer_path, size, inside, broken, reach, block, keep_ids)), SCHEMA)

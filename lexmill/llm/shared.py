@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,19 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back to the system at a task's end: Python workers outlive their tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for inner use that clash with none of df's, without regard to case."""
     taken, out = {c.lower() for c in df.columns}, []
