@@ -130,7 +130,7 @@ def _scorer(model_b, stretch: int):
         for batch in batches:
             data, offs = byte_view(batch.column(1))
             best, conf = [], []
-            for i, j in chunks(offs, 1 << 21):
+            for i, j in chunks(offs, 1 << 20):
                 text = data[offs[i] : offs[j]].tobytes().decode("utf-8", "replace")
                 points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                 # Row starts in characters: bytes that begin a character, counted.

@@ -12,7 +12,6 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -61,7 +60,7 @@ class _Words:
     """Token ids of space-delimited words, kept for words met before. Encoding word by word equals encoding the text:
     the tokenizer drops white space, never joins across it, and parts letters from punctuation."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -95,15 +94,9 @@ class _Words:
         return self.ids, self.begin[at], self.size[at]
 
 
-@lru_cache(maxsize=1)
-def _words(path: str) -> _Words:
-    """One store for all tasks of a worker process."""
-    return _Words(path)
-
-
 def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty."""
-    for lo, hi in chunks(byte_view(column)[1], 1 << 22):
+    for lo, hi in chunks(byte_view(column)[1], 1 << 21):
         part = pc.fill_null(column.take(pa.array(np.arange(lo, hi))).cast(pa.string()), "")  # a copy without an offset
         # Case is dropped anyway, and a mark behind a letter is a word of its own: so words recur more often.
         part = pc.replace_substring(pc.ascii_lower(part), "\n", " \n ")
@@ -174,7 +167,7 @@ def _packer(path: str, size: int, inside: float, broken: float, reach: int, bloc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, serial, words = TaskContext.get().partitionId(), 0, _words(path)
+        shard, serial, words = TaskContext.get().partitionId(), 0, _Words(path)
         docs, stops, held = [], [], 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
