@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this registers them."""
 
-from lexmill.plans import documents, events, quality, records, retrieval  # noqa: F401
+from lexmill.plans import documents, events, evidence, quality, records, retrieval  # noqa: F401

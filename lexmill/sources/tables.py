@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files with their digest and the first reason to reject them: empty, too large, or no PDF."""
+    """Files with their digest and the first reason to reject them: too large, or no PDF. Empty files give no row."""
     files = spark.read.format("binaryFile").load(path)
     head = F.substring("content", 1, 5)
-    why = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_UPLOAD, "too_large").when(head != F.lit(b"%PDF-"), "not_pdf")
+    why = F.when(F.col("length") > MAX_UPLOAD, "too_large").when(head != F.lit(b"%PDF-"), "not_pdf")
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), why.alias("rejected"))
 
 

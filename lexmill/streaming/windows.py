@@ -23,7 +23,7 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, path: str, schema, late: str = "10 minutes", files: int = 1) -> DataFrame:
     """A file stream of events with a watermark: rows later than `late` are dropped from windows."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withWatermark("ts", late)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def numbered_trace(events: DataFrame) -> DataFrame:
