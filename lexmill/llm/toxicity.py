@@ -8,14 +8,14 @@ continuation counts that both classes share: an expression rare in one class lea
 log-likelihood ratio per symbol, those of its most toxic words, and its length; a logistic curve fitted on labelled texts
 outside the counts turns them into a score.
 
-Counts are over all labelled texts given. The log ratios that result are broadcast as one byte for each of 2**25 slots,
-at every size of the corpus; a slot is a hash of h and x.
+Counts are over all labelled texts given, and every (h, x) counted keeps its own log ratio under its 64-bit key: the model
+grows with the input. Up to MAX_BROADCAST_ENTRIES entries are broadcast; a larger model stays a table, and each chunk of
+texts is joined with the entries that its own histories ask for.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ SCALE = 16.0  # steps of a stored log ratio
 ABSENT = -128
 MAX_CALIBRATION = 20_000  # labelled texts for the logistic curve
 MAX_BROADCAST_LABELS = 2_000_000
+MAX_BROADCAST_ENTRIES = 1 << 23  # of nine bytes
+CHUNK_BYTES = 16_000_000  # of texts scored together where the model is joined
 
 # Symbols: 0 separators, 1-26 letters, 27 digits, 28-31 other letters by their last byte. 255: bytes without a symbol.
 _SYMBOL = np.zeros(256, np.uint8)
@@ -157,8 +159,9 @@ def shared_model(continuations: np.ndarray) -> np.ndarray:
     return lower.ravel()
 
 
-def log_ratios(keys: np.ndarray, lows: np.ndarray, n: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of one bucket, from its first, and their stored log ratios, toxic over ordinary; n: (ordinary, toxic)."""
+def entry_ratios(keys: np.ndarray, lows: np.ndarray, n: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Histories h, those of the pairs (h, x), their x, and stored log ratios, toxic over ordinary, of what each history
+    lacks and then of each pair; n: (ordinary, toxic)."""
     met = n.sum(axis=1) > 0
     keys, lows, n = keys[met], lows[met], n[met]
     h, x = keys & ~np.uint64(31), (keys & np.uint64(31)).astype(np.int64)
@@ -171,40 +174,141 @@ def log_ratios(keys: np.ndarray, lows: np.ndarray, n: np.ndarray, shared: np.nda
         logs.append(np.log(np.maximum(n[:, c] - DISCOUNT, 0) / np.maximum(total, 1)[of] + weight[of] * shared[lows]))
         rest.append(np.log(weight))
     both = np.concatenate([rest[1] - rest[0], logs[1] - logs[0]])
-    at = np.concatenate([slots(heads, _REST), slots(h, x)]) & ((1 << (SLOT_BITS - BUCKET_BITS)) - 1)
-    return at, np.clip(np.rint(both * SCALE), -127, 127).astype(np.int8)
+    return heads, h, x, np.clip(np.rint(both * SCALE), -127, 127).astype(np.int8)
+
+
+def log_ratios(keys: np.ndarray, lows: np.ndarray, n: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of one bucket, from its first, and their stored log ratios: for models small enough to lie in slots."""
+    heads, h, x, value = entry_ratios(keys, lows, n, shared)
+    return np.concatenate([slots(heads, _REST), slots(h, x)]) & ((1 << (SLOT_BITS - BUCKET_BITS)) - 1), value
+
+
+def pair_keys(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return h | x.astype(np.uint64)
+
+
+def rest_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of what histories lack."""
+    return mix(h ^ _SALT[_REST])
+
+
+class Ratios:
+    """Log ratios by key; keys that are absent are known to be."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(wanted), ABSENT, np.int8)
+        each, back = np.unique(wanted, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, each), len(self.keys) - 1)
+        return np.where(self.keys[at] == each, self.values[at], np.int8(ABSENT))[back]
+
+    def __call__(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        v = self.find(pair_keys(h, x))
+        if len(gone := np.flatnonzero(v == ABSENT)):
+            v[gone] = self.find(rest_keys(h[gone]))
+            v[v == ABSENT] = 0
+        return v
+
+
+def _slotted(ratio: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    v = ratio[slots(h, x)]
+    if len(gone := np.flatnonzero(v == ABSENT)):
+        v[gone] = ratio[slots(h[gone], _REST)]
+        v[v == ABSENT] = 0
+    return v
+
+
+_ENTRIES = "keys binary, early binary, full binary"
 
 
 def _ratios(shared_b):
-    """For each bucket two ranges of slots: from counts without calibration texts, and from all."""
-    size = 1 << (SLOT_BITS - BUCKET_BITS)
+    """For each bucket its keys and two log ratios each: from counts without calibration texts, and from all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, *raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "lows", "counts")), strict=True):
+            for raw in zip(*(batch.column(c).to_pylist() for c in ("keys", "lows", "counts")), strict=True):
                 keys, lows, n = _unpacked([[r] for r in raw])
-                tables = []
-                for own in (n[:, :2], n[:, :2] + n[:, 2:]):
-                    table = np.full(size, ABSENT, np.int8)
-                    at, value = log_ratios(keys, lows, own, shared_b.value)
-                    table[at] = value
-                    tables.append(zlib.compress(table.tobytes(), 1))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([t], pa.binary()) for t in tables)], ["bucket", "early", "all"])
+                heads, h, x, full = entry_ratios(keys, lows, n[:, :2] + n[:, 2:], shared_b.value)
+                names = np.concatenate([rest_keys(heads), pair_keys(h, x)])
+                heads, h, x, value = entry_ratios(keys, lows, n[:, :2], shared_b.value)
+                order = np.argsort(names)
+                early = np.full(len(names), ABSENT, np.int8)
+                early[order[np.searchsorted(names, np.concatenate([rest_keys(heads), pair_keys(h, x)]), sorter=order)]] = value
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (names, early, full)], ["keys", "early", "full"])
 
     return run
 
 
-def features(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each entry that has a ratio. In: keys, ratios."""
+    for batch in batches:
+        for keys, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            k, v = np.frombuffer(keys, np.int64), np.frombuffer(values, np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(k[v != ABSENT]), pa.array(v[v != ABSENT])], ["key", "ratio"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys that the texts of a chunk may read. In: text, chunk."""
+    chunk, held = None, []
+
+    def out() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(keys.view(np.int64))], ["chunk", "key"])
+
+    for batch in batches:
+        of = batch.column(1).to_numpy()
+        for c in np.unique(of):
+            if held and c != chunk:
+                yield out()
+                held = []
+            chunk = c
+            for h, x, _, _ in grams(batch.column(0).filter(pa.array(of == c))):
+                h = h & ~np.uint64(31)
+                held.append(np.unique(np.concatenate([pair_keys(h, x), rest_keys(np.unique(h))])))
+                if len(held) > 16:
+                    held = [np.unique(np.concatenate(held))]
+    if held:
+        yield out()
+
+
+def _with_ratios(docs: DataFrame, entries: DataFrame, value: str, run: Callable[[pa.RecordBatch, Ratios], pa.RecordBatch], schema: str, few: bool) -> DataFrame:
+    """run over docs, whose first column is text, with the model's log ratios: all of them, or those its chunk asks for."""
+    if few:
+        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+        for r in entries.select("keys", value).toLocalIterator():
+            v = np.frombuffer(r[1], np.int8)
+            keys.append(np.frombuffer(r[0], np.uint64)[v != ABSENT])
+            values.append(v[v != ABSENT])
+        model = docs.sparkSession.sparkContext.broadcast(Ratios(np.concatenate(keys), np.concatenate(values)))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield run(batch, model.value)
+
+        return docs.mapInArrow(each, schema)
+    size = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    rows, at = max(1, int(CHUNK_BYTES / max(size, 1.0))), F.monotonically_increasing_id()
+    cut = saved(docs.withColumn("chunk", at).withColumn("chunk", F.col("chunk") - F.col("chunk").bitwiseAND((1 << 33) - 1) % rows))
+    found = cut.select("text", "chunk").mapInArrow(_asked, "chunk long, key long").join(entries.select("keys", value).mapInArrow(_rows, "key long, ratio byte"), "key").select("chunk", "key", "ratio")
+
+    def both(texts: pa.Table, own: pa.Table) -> pa.Table:
+        ratios = Ratios(own.column("key").to_numpy().view(np.uint64), own.column("ratio").to_numpy())
+        return pa.Table.from_batches([run(b, ratios) for b in texts.drop_columns(["chunk"]).to_batches(max_chunksize=500)])
+
+    return cut.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(both, schema)
+
+
+def features(column: pa.Array, ratio: Ratios | np.ndarray) -> np.ndarray:
     """One row each: log ratio per symbol, the largest of a word and the mean of the three largest, log length. Empty
-    texts: zeros."""
+    texts: zeros. ratio: by key, or a small model in slots."""
     out = []
     for h, x, _, row in grams(column):
         h = h & ~np.uint64(31)
-        v = ratio[slots(h, x)]
-        if len(gone := np.flatnonzero(v == ABSENT)):
-            v[gone] = ratio[slots(h[gone], _REST)]
-            v[v == ABSENT] = 0
-        v = v.astype(np.float64) / SCALE
+        v = (ratio(h, x) if isinstance(ratio, Ratios) else _slotted(ratio, h, x)).astype(np.float64) / SCALE
         run = np.concatenate([[0.0], np.cumsum(v)])
         n = np.diff(row)
         made = np.zeros((len(n), 4))
@@ -241,34 +345,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return mean, spread, w
 
 
-def _features(ratio_b):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column(0), ratio_b.value)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), pa.array(x[:, 3]), batch.column(1)], ["mean", "top", "three", "size", "label"])
-
-    return run
+def _features(batch: pa.RecordBatch, ratios: Ratios) -> pa.RecordBatch:
+    x = features(batch.column(0), ratios)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), pa.array(x[:, 3]), batch.column(1)], ["mean", "top", "three", "size", "label"])
 
 
-def _score(ratio_b, curve):
+def _score(curve):
     mean, spread, w = curve
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column(1), ratio_b.value)
-            p = 1 / (1 + np.exp(-np.clip(((x - mean) / spread) @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "score", "log_ratio", "word_log_ratio"])
+    def run(batch: pa.RecordBatch, ratios: Ratios) -> pa.RecordBatch:
+        x = features(batch.column(0), ratios)
+        p = 1 / (1 + np.exp(-np.clip(((x - mean) / spread) @ w[:-1] + w[-1], -30, 30)))
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(p), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "score", "log_ratio", "word_log_ratio"])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
     """doc_id, score, log_ratio, word_log_ratio of every row of docs, repeated rows included.
 
     labels: (id, 0/1). All labelled texts give the counts. The curve is fitted on features that texts where `calibrate`
     (over the id) holds get from the counts of the others: at most about MAX_CALIBRATION of them, chosen by hash. Null labels and ids are left out; an id with several
     labels counts as toxic if one is. Null and empty texts score as a text of length 0. With no labelled text, or labels
-    of one class only, every score is 0.
+    of one class only, every score is 0. A model of more than `most` entries is joined instead of broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -286,21 +385,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, calibrate: Column, id_col: str
     low = np.zeros(1 << (BITS * LOW), np.int64)
     for r in counts.select("lows").mapInArrow(_continuations, "low int, n long").groupBy("low").agg(F.sum("n").alias("n")).collect():
         low[r.low] = r.n
-    early = np.full(1 << SLOT_BITS, ABSENT, np.int8)
-    full = early.copy()
-    size = 1 << (SLOT_BITS - BUCKET_BITS)
-    for r in counts.mapInArrow(_ratios(send(shared_model(low))), "bucket int, early binary, all binary").toLocalIterator():
-        for table, packed in ((early, r[1]), (full, r[2])):
-            table[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(zlib.decompress(packed), np.int8)
-    ratio, fitted = send(full), send(early)
+    entries = saved(counts.mapInArrow(_ratios(send(shared_model(low))), _ENTRIES))
+    held = (entries.agg(F.sum(F.octet_length("early"))).first()[0] or 0) <= most
     share = min(1.0, MAX_CALIBRATION / max(totals[1], 1))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    fit = known.where(F.col("later") & drawn).select("text", "label").mapInArrow(_features(fitted), "mean double, top double, three double, size double, label int").collect()
-    fitted.unpersist()  # the scores need the full table alone
+    fit = known.where(F.col("later") & drawn).select("text", "label")
+    fit = _with_ratios(fit, entries, "early", _features, "mean double, top double, three double, size double, label int", held).collect()
     x, y = np.array([r[:4] for r in fit]).reshape(-1, 4), np.array([r[4] for r in fit], float)
     if len(y) and 0 < y.sum() < len(y):
         curve = fit_logistic(x, y)
     else:  # too few labels to calibrate: the sign of the mean log ratio
         curve = np.zeros(4), np.ones(4), np.array([8.0, 0.0, 0.0, 0.0, 0.0])
     kind = dict(own.dtypes)["doc_id"]
-    return own.mapInArrow(_score(ratio, curve), f"doc_id {kind}, score double, log_ratio double, word_log_ratio double")
+    return _with_ratios(own.select("text", "doc_id"), entries, "full", _score(curve), f"doc_id {kind}, score double, log_ratio double, word_log_ratio double", held)

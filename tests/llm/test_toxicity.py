@@ -89,3 +89,31 @@ def test_edge_rows(spark):
     assert by[2] > by[1] and by[3] == by[4]
     assert {r.score for r in T.toxicity(docs, labels.limit(0), F.lit(False)).collect()} == {0.0}
     assert T.toxicity(docs.limit(0), labels, F.lit(False)).count() == 0
+
+
+def test_pairs_of_one_slot_keep_their_own_ratios(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (6000, 7))]
+    met = {}
+    for w in words:  # two words whose last letters share a slot
+        h, x, _, _ = next(T.grams(pa.array([w])))
+        other = met.setdefault(int(T.slots(h & ~np.uint64(31), x)[6]), w)
+        if other != w:
+            break
+    else:
+        raise AssertionError("no two words share a slot")
+    train = [(other, 1), (w, 0), (w, 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(train)] + [(8, w[:6] + "z"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(train)], "doc_id long, toxic int")
+    for most in (T.MAX_BROADCAST_ENTRIES, 0):  # broadcast, and joined
+        got = {r.doc_id: r.log_ratio for r in T.toxicity(docs, labels, F.lit(False), most=most).collect()}
+        assert len(got) == 5
+        for i, t in ((0, other), (1, w), (8, w[:6] + "z")):
+            assert abs(got[i] - brute_ratio(train, t)) < 0.5 / T.SCALE + 1e-9, (most, t)
+
+
+def test_joined_model_scores_as_the_broadcast_one(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one, other = (sorted(map(tuple, T.toxicity(docs, labels, fold("doc_id", 4) == 1, most=m).collect())) for m in (T.MAX_BROADCAST_ENTRIES, 0))
+    assert len(one) == docs.count()
+    assert [r[0] for r in one] == [r[0] for r in other] and np.allclose([r[1:] for r in one], [r[1:] for r in other], atol=1e-6)
