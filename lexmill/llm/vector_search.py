@@ -2,9 +2,11 @@
 
 Centroids and codebooks are fitted on a bounded sample; every usable vector is then assigned to the list of its nearest
 centroid, with its residual's codes and the vector itself. A query visits the lists whose centroids have the largest
-inner products, ranks each list by asymmetric distance tables (the exact query against quantised residuals), and reranks
-the best by exact inner products in double precision. Lists are dealt out in blocks of rows; a query goes to every block
-of a list that it visits, and the blocks' results meet per query at the end.
+inner products, bounds each row of a list by asymmetric distance tables (the exact query against quantised residuals, give
+or take the row's own quantisation error), and reranks every row that may be among the k best by exact inner products in
+double precision. Within the lists visited nothing is lost; lists are dealt out in blocks by their own number of rows; a query goes to every
+block of a list that it visits, and the blocks' results meet per query at the end. Of equal vectors those with the k + 1
+smallest ids are indexed, as no other can be among the k nearest of any query.
 """
 
 from __future__ import annotations
@@ -58,26 +60,31 @@ class Model:
             out += (q[:, a:b] @ self.books[p].T)[:, codes[:, p]]
         return out
 
+    def errors(self, x: np.ndarray, near: int, codes: np.ndarray) -> np.ndarray:
+        """Length of what quantisation leaves of each row of a list."""
+        rest = x - self.coarse[near]
+        for p, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            rest[:, a:b] -= self.books[p][codes[:, p]]
+        return np.sqrt((rest * rest).sum(axis=1))
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def _assign(model_b, blocks: int):
+def _assign(model_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1))
             near, codes = model_b.value.encode(x)
-            ids = batch.column(0)
-            block = [hash(i) % blocks for i in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(block, pa.int32()), pa.array(["r"] * len(x)), ids, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "block", "kind", "id", "vector", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(["r"] * len(x)), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "kind", "id", "vector", "codes"])
 
     return run
 
 
-def _probe(model_b, probes: int, blocks: int):
+def _probe(model_b, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse = model_b.value.coarse
         for batch in batches:
@@ -86,9 +93,8 @@ def _probe(model_b, probes: int, blocks: int):
             q = _matrix(batch.column(1))
             take = np.argsort(-(q @ coarse.T), axis=1, kind="stable")[:, :probes]
             ids, raw = batch.column(0).to_pylist(), [v.tobytes() for v in q]
-            for b in range(blocks):
-                n, lists = len(ids), take.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(take.ravel(), pa.int32()), pa.array([b] * (n * lists), pa.int32()), pa.array(["q"] * (n * lists)), pa.array([i for i in ids for _ in range(lists)], pa.int64()), pa.array([v for v in raw for _ in range(lists)], pa.binary()), pa.array([b""] * (n * lists), pa.binary())], ["list", "block", "kind", "id", "vector", "codes"])
+            n, lists = len(ids), take.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(take.ravel(), pa.int32()), pa.array(["q"] * (n * lists)), pa.array([i for i in ids for _ in range(lists)], pa.int64()), pa.array([v for v in raw for _ in range(lists)], pa.binary()), pa.array([b""] * (n * lists), pa.binary())], ["list", "kind", "id", "vector", "codes"])
 
     return run
 
@@ -105,13 +111,20 @@ def _search(model_b, k: int, rerank: int):
             codes = table.column("codes").to_pylist()
             code = np.stack([np.frombuffer(codes[i], np.uint8) for i in rows])
             near, x_ids = table.column("list")[0].as_py(), ids[rows]
+            error, longest = model_b.value.errors(x, near, code), np.sqrt((x * x).sum(axis=1).max())
             for lo in range(0, len(asks), 128):
                 part = asks[lo : lo + 128]
                 q = np.stack([vectors[i] for i in part])
                 guess = model_b.value.approximate(q, near, code)
                 for r, a in enumerate(part):
-                    take = np.flatnonzero(x_ids != ids[a]) if len(rows) <= rerank else np.argpartition(-guess[r], rerank - 1)[:rerank]
-                    take = take[x_ids[take] != ids[a]]
+                    take = np.flatnonzero(x_ids != ids[a])
+                    if len(take) > rerank >= k:
+                        size = np.sqrt(q[r] @ q[r])
+                        slack = 1e-9 * size * longest  # far above rounding
+                        low, high = (guess[r] - size * error)[take], (guess[r] + size * error)[take]
+                        take = take[high >= np.partition(low, -k)[-k] - slack]
+                        close = (x @ q[r])[take] if 2 * len(take) > len(rows) else x[take] @ q[r]
+                        take = take[close >= np.partition(close, -k)[-k] - slack]
                     score = (x[take] * q[r]).sum(axis=1)
                     best = np.lexsort((x_ids[take], -score))[:k]
                     out_q += [int(ids[a])] * len(best)
@@ -128,8 +141,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
 
     queries has the same columns as vectors. Vectors that are null, zero, hold null or non-finite components or have
     another length than most of the sample's take no part; nor do null ids. Rows that repeat an id count once, with
-    the greatest vector. The model is fitted on about `sample` rows chosen by hash of the id; all rows are indexed. A list
-    is dealt out in blocks of about `block_rows` rows, whose number follows the table's size.
+    the greatest vector. The model is fitted on about `sample` rows chosen by hash of the id; all rows are indexed, but for
+    copies of a vector after its k + 1 smallest ids. A list is dealt out in blocks of about `block_rows` of its rows. A
+    block of more than `rerank` rows leaves out those that its quantised products show not to be among the k best.
     """
     spark = vectors.sparkSession
 
@@ -149,11 +163,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     drawn = drawn or [rows.orderBy("id").first().vector]
     width = int(np.bincount([len(v) for v in drawn]).argmax())
     model = spark.sparkContext.broadcast(Model(np.array([v for v in drawn if len(v) == width]), lists, min(parts, width), codes))
-    blocks = max(1, -(-total // (lists * block_rows)))
-    schema = "list int, block int, kind string, id long, vector binary, codes binary"
+    schema = "list int, kind string, id long, vector binary, codes binary"
     right = F.size("vector") == width
-    index = rows.where(right).mapInArrow(_assign(model, blocks), schema)
-    asked = asks.where(right).mapInArrow(_probe(model, probes, blocks), schema)
+    copies = Window.partitionBy("vector").orderBy("id")
+    kept = rows.where(right).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "vector")
+    index = saved(kept.mapInArrow(_assign(model), schema))
+    blocks = {r[0]: -(-r[1] // block_rows) for r in index.groupBy("list").count().collect()}
+    of = F.create_map(*[F.lit(v).cast("int") for item in blocks.items() for v in item])[F.col("list")]
+    index = index.withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int"))
+    asked = asks.where(right).mapInArrow(_probe(model, probes), schema).where(of.isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
     found = index.unionAll(asked).groupBy("list", "block").applyInArrow(_search(model, k, rerank), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,3 +48,26 @@ def test_tables_approximate_inner_products():
         own = np.flatnonzero(near == c)
         guess, true = m.approximate(x[:5], c, codes[own]), x[:5] @ x[own].T
         assert np.corrcoef(guess.ravel(), true.ravel())[0, 1] > 0.95
+
+
+def test_hot_copies_and_long_lists(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=24)
+    x = np.concatenate([np.tile(hot, (1500, 1)), hot + 0.02 * rng.normal(size=(1500, 24)), rng.normal(size=(1500, 24))])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))  # so that the copies are nearest to each other
+    ids = rng.permutation(len(x)).tolist()
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = rows[:5] + rows[1500:1520] + rows[3000:3020]
+    want = exact(rows, asked, 20)
+    got = {}
+    for r in nearest_neighbours(df, df.where(df.vec_id.isin([i for i, _ in asked])), k=20, lists=4, probes=4, block_rows=4000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = [len(set(got[q]) & {v for v, _ in want[q]}) for q, _ in asked]
+    print("recall:", [sum(p) / (20 * len(p)) for p in (hits[:5], hits[5:25], hits[25:])])
+    assert min(sum(p) / (20 * len(p)) for p in (hits[:5], hits[5:25], hits[25:])) >= 0.9
+    twins = set(ids[:1500])
+    for q, _ in asked:  # of the copies found, those with the smallest ids
+        mine = [v for v in got[q] if v in twins]
+        assert q not in twins or len(mine) == 20
+        assert mine == sorted(twins - {q})[: len(mine)]
