@@ -2,8 +2,8 @@
 
 Words become templates: numbers, units after numbers, and names (capitalised within a sentence) turn into typed
 placeholders, other words lose case and outer punctuation. Windows of `width` template words are hashed and joined with
-those of the benchmark. A document leaks an item if enough windows of the item occur in it along alignments whose slots are
-consistent: wherever the item repeats a number, unit or name, the document repeats what stands for it there. So an item
+those of the benchmark. A document leaks an item if enough windows of the item occur in it over slots that are consistent
+along their alignment (a window over a slot that is not does not count): wherever the item repeats a number, unit or name, the document repeats what stands for it there. So an item
 with other numbers is caught, a table of numbers is not.
 """
 
@@ -82,11 +82,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = lines.select("doc_id", "item_id", "i_windows", "found", "shift").join(items, "item_id").join(own, "doc_id").withColumn("raw", words(F.col("text")))
     under = F.array_distinct(F.flatten(F.transform("found", lambda i: F.sequence(i, i + (width - 1)))))
     clean = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    slot = lambda p: F.struct(F.get("i_words", p).alias("kind"), clean(F.get("i_raw", p)).alias("theirs"), clean(F.get("raw", p + F.col("shift"))).alias("mine"))
+    slot = lambda p: F.struct(p.alias("p"), F.get("i_words", p).alias("kind"), clean(F.get("i_raw", p)).alias("theirs"), clean(F.get("raw", p + F.col("shift"))).alias("mine"))
     slots = F.transform(F.filter(under, lambda p: F.get("i_words", p).isin(SLOTS)), slot)
-    seen = pairs.select("doc_id", "item_id", "i_windows", "found", slots.alias("slots")).withColumn("kinds", F.array_distinct("slots"))
+    seen = pairs.select("doc_id", "item_id", "i_windows", "found", slots.alias("slots")).withColumn("kinds", F.array_distinct(F.transform("slots", lambda z: F.struct(z["kind"], z["theirs"], z["mine"]))))
     consistent = F.size(F.array_distinct(F.transform("kinds", lambda z: F.struct(z["kind"], z["theirs"])))) == F.size("kinds")
     changed = F.size(F.filter("slots", lambda z: ~z["theirs"].eqNullSafe(z["mine"])))
-    good = seen.where(consistent).select("doc_id", "item_id", "i_windows", "found", F.size("slots").alias("slots"), changed.alias("changed"))
+    clash = lambda z: F.exists("kinds", lambda y: (y["kind"] == z["kind"]) & (y["theirs"] == z["theirs"]) & ~y["mine"].eqNullSafe(z["mine"]))
+    over = lambda p, i: p.between(i, i + (width - 1))
+    # Only the windows over a slot that clashes go, and the slots that no window is left over.
+    seen = seen.withColumn("whole", consistent).withColumn("bad", F.when(F.col("whole"), F.array().cast("array<int>")).otherwise(F.transform(F.filter("slots", clash), lambda z: z["p"])))
+    seen = seen.withColumn("found", F.when(F.col("whole"), F.col("found")).otherwise(F.filter("found", lambda i: ~F.exists("bad", lambda p: over(p, i)))))
+    seen = seen.withColumn("slots", F.when(F.col("whole"), F.col("slots")).otherwise(F.filter("slots", lambda z: F.exists("found", lambda i: over(z["p"], i)))))
+    good = seen.where(F.size("found") > 0).select("doc_id", "item_id", "i_windows", "found", F.size("slots").alias("slots"), changed.alias("changed"))
     total = good.groupBy("doc_id", "item_id", "i_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("windows"), F.max("slots").cast("long").alias("slots"), F.min("changed").cast("long").alias("changed"))
     return total.where(F.col("windows") >= enough).select("doc_id", "item_id", "windows", F.round(F.col("windows") / F.col("i_windows"), 6).alias("coverage"), "slots", "changed")

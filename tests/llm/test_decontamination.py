@@ -97,3 +97,12 @@ def test_reparameterised_and_edge_rows(spark):
     assert got == brute([d for d in docs if d[0] is not None], items)
     assert (2, 1) in got and got[2, 1][3] == 4 and (3, 1) not in got and (5, 5) not in got and (8, 4) in got and (9, 4) not in got
     assert D.contamination(df.limit(0), bench).count() == 0 and D.contamination(df, bench.limit(0)).count() == 0
+
+
+def test_one_edited_slot_costs_its_windows_alone(spark):
+    long = ITEM + " where every child of the village watched the slow boats pass under the stone arches and waved until the last lantern was gone"
+    df = spark.createDataFrame([(1, long), (2, long.replace("40 km", "75 km"))], "doc_id long, text string")
+    got = rows(D.contamination(df, spark.createDataFrame([(1, long)], "item_id long, text string")))
+    n = len(long.split()) - D.WIDTH + 1
+    assert got[1, 1][0] == n and got[1, 1][3] == 0
+    assert got[2, 1][0] == n - 6 - 8  # windows over the first 40 and over the second
