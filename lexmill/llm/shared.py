@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -12,10 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 8 << 20  # of an Arrow batch: whole texts can be long, and a batch is in memory twice
+_written: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a local one set here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all tasks run in this
+    process (master local, as in tests) a local one is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -24,15 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage of df: write it as a table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    for paths in _written:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch in this session: whole texts can be long, and a batch is in memory twice."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key) or 10_000) <= rows:
-        spark.conf.set(key, rows)
+@contextlib.contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """Paths of the tables that saved() writes within."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder whose readers have ended."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Bound the bytes and rows of an Arrow batch in this session; smaller bounds that it has stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        held = spark.conf.get(key, None)
+        if not held or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, most)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
