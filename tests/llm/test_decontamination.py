@@ -13,7 +13,7 @@ def bare(w):
 
 
 def number(w):
-    return bool(regex.match(r"^[^\p{L}\p{N}]*\p{N}[^\p{L}]*(" + "|".join(D.UNITS) + r")?[^\p{L}\p{N}]*$", w))
+    return bare(w) in D.NUMBER_WORDS or bool(regex.match(r"^[^\p{L}\p{N}]*\p{N}[^\p{L}]*(" + "|".join(D.UNITS) + r")?[^\p{L}\p{N}]*$", w))
 
 
 def template(ws):
@@ -36,13 +36,16 @@ def cut(t):
 
 
 def brute(docs, items):
-    index = defaultdict(list)
+    index = defaultdict(set)
     split = lambda s: [w for w in regex.split(r"[ \t\n\x0b\f\r]+", s or "") if w]
     parts = {i: (split(s), template(split(s))) for i, s in items}
-    for i, (_, t) in parts.items():
-        for k, g in enumerate(cut(t)):
-            if sum(w not in D.SLOTS and w != "" for w in g) >= min(D.LITERAL, len(t)):
-                index[g].append((i, k))
+    indexed = defaultdict(set)
+    for i, (raw, t) in parts.items():
+        for form in (t, [bare(w) if c == "#name" else c for w, c in zip(raw, t)]):
+            for k, g in enumerate(cut(form)):
+                if sum(w not in D.SLOTS and w != "" for w in g) >= min(D.LITERAL, len(t)):
+                    index[g].add((i, k))
+                    indexed[i].add(k)
     out = {}
     for d, s in docs:
         raw = split(s)
@@ -52,17 +55,19 @@ def brute(docs, items):
                 lines[i, p - k].add(k)
         found, slots, changed = defaultdict(set), defaultdict(int), {}
         for (i, shift), ks in lines.items():
-            lo, hi = min(ks), max(ks) + D.WIDTH
             theirs, t = parts[i]
-            got = [(c, bare(a), bare(b) if b is not None else None) for c, a, b in zip(t[lo:hi], theirs[lo:hi], [raw[j] if j < len(raw) else None for j in range(max(lo + shift, 0), max(lo + shift, 0) + hi - lo)]) if c in D.SLOTS]
-            if len({x[:2] for x in got}) == len(set(got)):
+            over = lambda ks: {p for k in ks for p in range(k, k + D.WIDTH) if p < len(t) and t[p] in D.SLOTS}
+            value = {p: (t[p], bare(theirs[p]), bare(raw[p + shift])) for p in over(ks)}
+            bad = {p for p, v in value.items() if any(w[:2] == v[:2] and w != v for w in value.values())}
+            ks = {k for k in ks if not any(k <= p < k + D.WIDTH for p in bad)}
+            if ks:
                 found[i] |= ks
-                slots[i] = max(slots[i], len(got))
-                changed[i] = min(changed.get(i, 10**9), sum(a != b for _, a, b in got))
+                slots[i] = max(slots[i], len(over(ks)))
+                changed[i] = min(changed.get(i, 10**9), sum(value[p][1] != value[p][2] for p in over(ks)))
         for i, ks in found.items():
-            n = max(len(parts[i][1]) - D.WIDTH + 1, 1)
+            n = len(indexed[i])
             if len(ks) >= min(D.MIN_WINDOWS, -(-n * D.MIN_SHARE // 1)):
-                out[d, i] = (len(ks), round(len(ks) / n, 6), slots[i], changed[i])
+                out[d, i] = max(out.get((d, i), ()), (len(ks), round(len(ks) / n, 6), slots[i], changed[i]))
     return out
 
 
@@ -89,13 +94,13 @@ def test_reparameterised_and_edge_rows(spark):
         (4, ITEM.upper()),
         (5, "1 2 3 4 5 6 7 8 9 10 11"),
         (6, None), (7, ""), (8, "Short item"), (9, "a short item"), (10, "x " * 50_000 + ITEM), (11, ITEM), (11, ITEM), (None, ITEM),
-        (12, " ".join(ITEM.split()[:9])),
+        (12, " ".join(ITEM.split()[:9])), (13, ITEM.lower()), (14, ITEM.replace("3", "three")), (15, "nothing of it at all here"), (15, ITEM), (15, ITEM.replace("Anna", "Bert")),
     ]
     df = spark.createDataFrame([(d, t, 0, "h") for d, t in docs], "doc_id long, text string, pos int, ITEM_ID string")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, h int")
     got = rows(D.contamination(df, bench))
     assert got == brute([d for d in docs if d[0] is not None], items)
-    assert (2, 1) in got and got[2, 1][3] == 4 and (3, 1) not in got and (5, 5) not in got and (8, 4) in got and (9, 4) not in got
+    assert (2, 1) in got and got[2, 1][3] == 4 and (3, 1) not in got and (5, 5) not in got and (8, 4) in got and (9, 4) not in got and (4, 1) in got and (13, 1) in got and got[14, 1][3] == 1 and got[15, 1][0] == got[1, 1][0]
     assert D.contamination(df.limit(0), bench).count() == 0 and D.contamination(df, bench.limit(0)).count() == 0
 
 
