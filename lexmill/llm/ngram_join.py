@@ -30,7 +30,7 @@ from .shared import mix, saved, shingle_sets, small_batches, tidy
 CLASS_BITS = 40  # of a shingle's hash, for its frequency class alone
 SEEN_BITS = 27  # of the map of shingles that occur twice: 16 MB at every size
 MAX_FREQUENT = 1 << 18  # the frequent class is broadcast: 2 MB at most
-CANDIDATE_BITS = 26  # of the map of documents to compare: 8 MB at every size
+MAX_BROADCAST = 200_000  # rows of documents to compare, of about 50 bytes
 FREQUENT = 16  # least document frequency of the frequent class
 
 
@@ -156,43 +156,6 @@ def _index_keys(width: int, percent: int, combo_size: int, buckets: int, seen_b,
     return run
 
 
-def _candidate_slots(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - CANDIDATE_BITS)).astype(np.int64)
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        s = np.unique(_candidate_slots(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array(s >> 16, pa.int32()), pa.array(s & 0xFFFF, pa.int32())], ["part", "slot"])
-
-
-def _bits(table: pa.Table) -> pa.Table:
-    marked = np.zeros(1 << 16, bool)
-    marked[table.column("slot").to_numpy()] = True
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(marked).tobytes()], pa.binary())})
-
-
-def _candidates_only(marks_b):
-    """Texts of documents in the map; what it lets through in error finds no partner in the join that follows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = marks_b.value
-        for batch in batches:
-            s = _candidate_slots(batch.column(0))
-            yield batch.filter(pa.array((marks[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1))
-
-    return run
-
-
-def _candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    parts = wanted.select("doc").distinct().mapInArrow(_slots, "part int, slot int").distinct().groupBy("part").applyInArrow(_bits, "part int, bits binary")
-    marks = np.zeros(1 << (CANDIDATE_BITS - 3), np.uint8)
-    for r in parts.toLocalIterator():
-        marks[r.part << 13 : (r.part + 1) << 13] = np.frombuffer(r.bits, np.uint8)
-    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    return own.mapInArrow(_candidates_only(docs.sparkSession.sparkContext.broadcast(marks)), "doc long, text string")
-
-
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,10 +242,11 @@ def _verify(percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, combo_size: int = 250, block_tokens: int = 400_000) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, combo_size: int = 250, block_tokens: int = 400_000, block_rows: int = 256) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has doc_id, n_shingles, component_id; links a forest of verified pairs (a, b).
 
-    Null and empty texts have no shingle and link with nothing. Repeated rows of an id count as one document each, and
+    Links are decided on the sets of 64-bit hashes of the shingles. Blocks of a pivot's members have about block_tokens
+    shingles and block_rows rows at most. Null and empty texts have no shingle and link with nothing. Repeated rows of an id count as one document each, and
     link with each other by equal text. Rows with a null id come back with a null component. Ties of pivots go to the
     smaller id. Extra columns of docs play no part.
     """
@@ -290,28 +254,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets, seen, frequent = _classes(docs, "text", width)
-    run = _index_keys(width, percent, combo_size, buckets, spark.sparkContext.broadcast(seen), spark.sparkContext.broadcast(frequent))
+    seen_b, frequent_b = spark.sparkContext.broadcast(seen), spark.sparkContext.broadcast(frequent)
+    run = _index_keys(width, percent, combo_size, buckets, seen_b, frequent_b)
     indexed = saved(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, rare long, fp binary, keys array<long>"))
+    seen_b.destroy()
+    frequent_b.destroy()
     # One representative of each set; copies share their keys and so need no comparison.
     classes = saved(indexed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("keys").alias("keys")))
     index = classes.select("rep", "n", "rare", F.explode("keys").alias("key"))
     pivots = saved(index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rare", "n", "rep")).alias("p")).where("members > 1").select("key", F.col("p.rep").alias("pivot")))
     roles = saved(index.join(pivots, "key").where("rep <> pivot").groupBy("pivot", "rep").agg(F.first("n").alias("n")))
-    weight = saved(roles.groupBy("pivot").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("blocks")))
+    weight = saved(roles.groupBy("pivot").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block_tokens), F.count("*") / F.lit(block_rows))).cast("int").alias("blocks")))
     member = roles.join(weight, "pivot").select(F.col("rep").alias("doc"), "pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "blocks", F.lit("m").alias("role"))
     pivot = weight.select(F.col("pivot").alias("doc"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.lit("p").alias("role"))
     wanted = saved(member.unionAll(pivot))
-    texts = _candidate_texts(docs, wanted)
-    sets = wanted.join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(tidy(_with_sets(width)), "doc long, pivot long, block int, blocks int, role string, tokens binary")
-    first = saved(sets.groupBy("pivot", "block").applyInArrow(_verify(percent), "a long, b long, kind int"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+
+    def verified(rows: DataFrame) -> DataFrame:
+        few = rows.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST  # then the texts stay where they are
+        sets = texts.join(F.broadcast(rows) if few else rows, "doc").select("doc", "pivot", "block", "blocks", "role", "text")
+        sets = sets.mapInArrow(tidy(_with_sets(width)), "doc long, pivot long, block int, blocks int, role string, tokens binary")
+        return saved(sets.groupBy("pivot", "block").applyInArrow(_verify(percent), "a long, b long, kind int"))
+
+    first = verified(wanted)
     # Members of pivots with several blocks that don't link with their pivot go to its other blocks.
     far = first.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("pivot")).distinct()
     wide = wanted.where("blocks > 1 and role = 'm'")
     asked = wide.join(far, ["doc", "pivot"]).select("doc", "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks", "block").where("other <> block").select("doc", "pivot", F.col("other").alias("block"), "blocks", F.lit("o").alias("role"))
     edges = first.where("kind = 0").select("a", "b")
     if far.limit(1).count():
-        again = saved(wide.unionAll(asked)).join(texts, "doc").select("doc", "pivot", "block", "blocks", "role", "text").mapInArrow(tidy(_with_sets(width)), sets.schema)
-        edges = edges.unionAll(again.groupBy("pivot", "block").applyInArrow(_verify(percent), "a long, b long, kind int").where("kind = 0").select("a", "b"))
+        edges = edges.unionAll(verified(saved(wide.unionAll(asked))).where("kind = 0").select("a", "b"))
     edges = saved(edges.distinct())
     found = connected_components(edges)
     label = saved(classes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
