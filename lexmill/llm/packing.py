@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming.
 
-Token positions that end a document (free) or a sentence (penalty `inside`) are the allowed cuts, and every `reach`
-tokens of a longer sentence (penalty `broken`).
+Token positions that end a document (free) or a sentence (penalty `inside`) are the allowed cuts; a sentence longer than a
+window is cut every `size` tokens too (penalty `broken`).
 f(j) = min over i with S(j) - S(i) <= size of f(i) + (size - S(j) + S(i)) + penalty(j); as S(i) + f(i) is all that
 depends on i, a monotone queue over the sliding window finds each minimum in constant amortised time.
 """
@@ -60,7 +60,7 @@ class _Words:
     """Token ids of space-delimited words, kept for words met before. Encoding word by word equals encoding the text:
     the tokenizer drops white space, never joins across it, and parts letters from punctuation."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -96,7 +96,7 @@ class _Words:
 
 def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty."""
-    for lo, hi in chunks(byte_view(column)[1], 1 << 21):
+    for lo, hi in chunks(byte_view(column)[1], 1 << 20):
         part = pc.fill_null(column.take(pa.array(np.arange(lo, hi))).cast(pa.string()), "")  # a copy without an offset
         # Case is dropped anyway, and a mark behind a letter is a word of its own: so words recur more often.
         part = pc.replace_substring(pc.ascii_lower(part), "\n", " \n ")
@@ -123,9 +123,7 @@ def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.n
             yield out, stops[np.concatenate([[True], stops[1:] != stops[:-1]])] if len(stops) else stops
 
 
-def _packer(path: str, size: int, inside: float, broken: float, reach: int, block: int, keep_ids: bool):
-    reach = min(reach, size)
-
+def _packer(path: str, size: int, inside: float, broken: float, block: int, keep_ids: bool):
     def emit(shard: int, serial: int, docs: list, cuts: np.ndarray, total: int) -> tuple[list, list, int]:
         """Pieces up to position total; docs: [id, ids, start in the document, its tokens]. Returns also what is left."""
         rows, edges, k, at = [], [0, *cuts.tolist()], 0, 0
@@ -154,8 +152,8 @@ def _packer(path: str, size: int, inside: float, broken: float, reach: int, bloc
         pos = np.union1d(inner, end)
         gaps = np.diff(pos, prepend=0)
         pen = np.where(np.isin(pos, end), 0.0, inside)
-        if (wide := gaps > reach).any():
-            extra = np.concatenate([np.arange(p - g + reach, p, reach) for p, g in zip(pos[wide], gaps[wide], strict=True)])
+        if (wide := gaps > size).any():
+            extra = np.concatenate([np.arange(p - g + size, p, size) for p, g in zip(pos[wide], gaps[wide], strict=True)])
             pos, pen = np.concatenate([pos, extra]), np.concatenate([pen, np.full(len(extra), broken)])
             order = np.argsort(pos)
             pos, pen = pos[order], pen[order]
@@ -199,7 +197,7 @@ def _packer(path: str, size: int, inside: float, broken: float, reach: int, bloc
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, inside: float = 8.0, broken: float = 24.0, reach: int = 64, block: int = 400_000, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, inside: float = 8.0, broken: float = 24.0, block: int = 300_000, keep_ids: bool = True) -> DataFrame:
     """Pieces of documents placed in sequences of at most `size` tokens, in the order of the table's partitions.
 
     Each partition packs its own rows in blocks of `block` tokens, and the last window of a block moves on to the next,
@@ -207,5 +205,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ids_crc32, doc_tokens, sequence_id (partition and serial), offset, ids (null unless keep_ids). Null and empty texts
     are their end token alone. Repeated rows are packed as often as given; null ids stay null.
     """
-    small_batches(docs.sparkSession, 2_000)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_packer(tokenizer_path, size, inside, broken, reach, block, keep_ids)), SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_packer(tokenizer_path, size, inside, broken, block, keep_ids)), SCHEMA)
