@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm.shared import saved
 from lexmill.llm import stages
+from lexmill.llm.shared import drop_tables, saved, tables_written
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -20,8 +20,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over `documents`, each written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn over `documents`, each written as Parquet and reread. What a stage wrote on its way, and its
+    input, goes as soon as its output is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        with tables_written() as inner:
+            out = stage(spark, docs, sf_dir)
+        with tables_written() as outer:
+            docs = saved(out)
+        drop_tables(spark, inner + held)
+        held = outer
     return STAGES[-1][1](spark, docs, sf_dir)

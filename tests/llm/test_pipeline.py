@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -65,9 +66,33 @@ def test_run_equals_stages_and_empty_tables(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+WORDS = "one quiet morning the old ferry left the harbour with nine sleepy travellers and a crate of oranges on its deck"
+
+
 def test_edge_rows(spark, sf):
     rows = [(1, None, "en"), (2, "", None), (3, "12 34", "en"), (4, "some text a@b.co here", "en"), (5, "some text a@b.co here", "en"), (None, "lost id here", "en")]
-    df = spark.createDataFrame([(i, t, lang, "x", 3, "y") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string")
+    df = spark.createDataFrame([(i, t, lang, "x", 3, "y", 7) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, spans string, gone int")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stages.saved(stage(spark, df, sf))
-    assert {(r.doc_id, r.text, r.n_chars, r.spans) for r in df.collect()} == {(4, "some text [EMAIL] here", 22, "y"), (None, "lost id here", 12, "y")}
+    assert {(r.doc_id, r.text, r.n_chars, r.spans, r.gone) for r in df.collect()} == {(4, "some text [EMAIL] here", 22, "y", 7), (None, "lost id here", 12, "y", 7)}
+
+
+def test_rows_that_repeat_an_id_or_lack_one(spark, sf):
+    """No text is lost with another one of its id, and no copy stays."""
+    other = WORDS.replace("ferry", "balloon").replace("oranges", "lemons").replace("morning", "night")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(5, WORDS), (5, WORDS), (3, WORDS), (5, other), (None, other), (None, WORDS), (7, item), (7, "clean words of the seventh"), (None, item), (8, "word " * 60_000)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = sorted((r.doc_id or 0, r.text) for r in stages.near_duplicates(spark, df, sf).collect())
+    assert kept == sorted([(3, WORDS), (5, other), (7, item), (7, "clean words of the seventh"), (8, "word " * 60_000)])
+    clean = sorted((r.doc_id or 0, r.text) for r in stages.decontamination(spark, df, sf).collect())
+    assert clean == sorted((i or 0, t) for i, t in rows if t != item)
+    assert stages.pii(spark, df, sf).count() == stages.language_id(spark, df, sf).count() == len(rows)
+
+
+def test_language_found_is_kept(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400")
+    lost = docs.withColumn("given", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    got = stages.language_id(spark, lost, sf)
+    assert got.columns == lost.columns and got.where("lang is null").count() == 0
+    assert got.where("lang = given").count() >= 0.97 * got.count() == 0.97 * docs.count()
