@@ -68,6 +68,21 @@ class Model:
         return np.sqrt((rest * rest).sum(axis=1))
 
 
+def lists_to_visit(model: Model, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+    """How many lists, by inner product of query and centroid, hold `recall` of the k nearest in the sample of its own
+    first rows. In all rows the k nearest lie nearer to the query than in a sample, so this is rather too many."""
+    n = min(queries, len(sample))
+    score = sample[:n] @ sample.T
+    score[np.arange(n), np.arange(n)] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(model.coarse)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(sample[:n] @ model.coarse.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort(np.take_along_axis(place, model.nearest(sample)[near], axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
@@ -135,14 +150,15 @@ def _search(model_b, k: int, rerank: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 64, probes: int = 46, parts: int = 16, codes: int = 128, rerank: int = 64, sample: int = 16_384, block_rows: int = 2_000) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, probes: int | None = None, recall: float = 0.95, parts: int = 16, codes: int = 128, rerank: int = 64, sample: int = 16_384, block_rows: int = 2_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query its k nearest found by inner product, nearest first, ties
     to the smaller id; the query's own id is no candidate.
 
     queries has the same columns as vectors. Vectors that are null, zero, hold null or non-finite components or have
     another length than most of the sample's take no part; nor do null ids. Rows that repeat an id count once, with
     the greatest vector. The model is fitted on about `sample` rows chosen by hash of the id; all rows are indexed, but for
-    copies of a vector after its k + 1 smallest ids. A list is dealt out in blocks of about `block_rows` of its rows. A
+    copies of a vector after its k + 1 smallest ids. Lists: sqrt(rows) / 4, from 64 to 1024. Each query visits as many as
+    hold `recall` of the k nearest within the sample: few where vectors lie in clusters, most where they lie anywhere. A list is dealt out in blocks of about `block_rows` of its rows. A
     block of more than `rerank` rows leaves out those that its quantised products show not to be among the k best.
     """
     spark = vectors.sparkSession
@@ -162,16 +178,19 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     drawn = [r.vector for r in rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20))))).orderBy("id").limit(2 * sample).collect()]
     drawn = drawn or [rows.orderBy("id").first().vector]
     width = int(np.bincount([len(v) for v in drawn]).argmax())
-    model = spark.sparkContext.broadcast(Model(np.array([v for v in drawn if len(v) == width]), lists, min(parts, width), codes))
+    held = np.array([v for v in drawn if len(v) == width])
+    held = held[np.random.default_rng(3).permutation(len(held))]
+    fitted = Model(held, lists or min(1024, max(64, round(total**0.5 / 4))), min(parts, width), codes)
+    probes = probes or lists_to_visit(fitted, held, k, recall)
+    model = spark.sparkContext.broadcast(fitted)
     schema = "list int, kind string, id long, vector binary, codes binary"
     right = F.size("vector") == width
     copies = Window.partitionBy("vector").orderBy("id")
     kept = rows.where(right).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "vector")
     index = saved(kept.mapInArrow(_assign(model), schema))
-    blocks = {r[0]: -(-r[1] // block_rows) for r in index.groupBy("list").count().collect()}
-    of = F.create_map(*[F.lit(v).cast("int") for item in blocks.items() for v in item])[F.col("list")]
-    index = index.withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int"))
-    asked = asks.where(right).mapInArrow(_probe(model, probes), schema).where(of.isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
+    blocks = saved(index.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))  # a row a list
+    index = index.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+    asked = asks.where(right).mapInArrow(_probe(model, probes), schema).join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = index.unionAll(asked).groupBy("list", "block").applyInArrow(_search(model, k, rerank), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
