@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE, byte_view, chunks, mix, small_batches, span_hashes, word_spans
+from .shared import LOWER, SPACE, byte_view, chunks, mix, small_batches, span_hashes, tidy, word_spans
 
 HASH_BITS = 16
 MAX_SAMPLE = 8_000  # texts that the scorer is fitted on
@@ -141,8 +141,8 @@ class WeakLabels:
         return {name[0]: float(r / (r + w)) for name, r, w in zip(LABELLERS, right, wrong, strict=True)}
 
 
-def hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For some rows together: feature slot and weight of each occurrence, its row, number of rows. Features are words,
+def hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some rows together: feature slot and weight of each occurrence, its row, and the rows' statistics. Features are words,
     byte triples and coarse bins of the statistics; weights make each text's words, and its triples, sum to one."""
     data_all, offs_all = byte_view(column)
     row0 = 0
@@ -161,26 +161,31 @@ def hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         n, nt = np.bincount(rows, minlength=m), np.bincount(t_row, minlength=m)
         slot = np.concatenate([(h & mask), t_slot, s_slot]).astype(np.int64)
         weight = np.concatenate([1 / np.sqrt(np.maximum(n, 1))[rows] / 4, 1 / np.sqrt(np.maximum(nt, 1))[t_row] / 4, np.full(len(s_row), 0.5)])
-        yield slot, weight, np.concatenate([rows, t_row, s_row]), m
+        yield slot, weight, np.concatenate([rows, t_row, s_row]), stats
         row0 += m
 
 
 _BINS = [np.array(b) for b in ([4, 8, 16, 40, 100, 400, 2000], [0.5, 0.7, 0.8, 0.9, 0.95], [0.002, 0.005, 0.02, 0.04, 0.1], [0.05, 0.12, 0.25, 0.4, 0.7], [0.1, 0.2, 0.3, 0.4, 0.6], [0.01, 0.02, 0.05, 0.2, 0.5], [2, 3, 5, 7, 9, 14], [0.004, 0.02, 0.05, 0.1, 0.2, 0.35], [0.02, 0.05, 0.15, 0.3], [0.02, 0.1, 0.2, 0.5])]
 
 
-def fit_linear(examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model on sparse rows with soft labels, by adaptive gradient steps."""
+def fit_linear(examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, rate: float = 0.5, ridge: float = 1e-4, batch: int = 16) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model on sparse rows with soft labels, by adaptive gradient steps of a few rows."""
     w, g2, bias, b2 = np.zeros(1 << HASH_BITS), np.full(1 << HASH_BITS, 1e-2), 0.0, 1e-2
     order = np.random.default_rng(6).permutation(len(y))
+    steps = []
+    for lo in range(0, len(order), batch):
+        rows = order[lo : lo + batch]
+        slot, at = np.unique(np.concatenate([examples[i][0] for i in rows]), return_inverse=True)
+        steps.append((rows, slot, at, np.concatenate([examples[i][1] for i in rows]), np.repeat(np.arange(len(rows)), [len(examples[i][0]) for i in rows])))
     for _ in range(rounds):
-        for i in order:
-            slot, weight = examples[i]
-            p = 1 / (1 + np.exp(-np.clip(w[slot] @ weight + bias, -30, 30)))
-            g = (p - y[i]) * weight + ridge * w[slot]
+        for rows, slot, at, weight, owner in steps:
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[slot][at] * weight, len(rows)) + bias, -30, 30)))
+            off = p - y[rows]
+            g = np.bincount(at, off[owner] * weight, len(slot)) + ridge * w[slot]
             g2[slot] += g * g
             w[slot] -= rate * g / np.sqrt(g2[slot])
-            b2 += (p - y[i]) ** 2
-            bias -= rate * (p - y[i]) / np.sqrt(b2)
+            b2 += off.sum() ** 2
+            bias -= rate * off.sum() / np.sqrt(b2)
     return w, bias
 
 
@@ -200,13 +205,14 @@ def decode(code: np.ndarray) -> np.ndarray:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = 3 ** np.arange(len(LABELLERS))
     for batch in batches:
-        code = [(votes(s) + 1) @ powers for s, *_ in statistics(batch.column(0))]
-        slots, weights = [], []
-        for slot, weight, rows, m in hashed(batch.column(0)):
-            for r in range(m):
-                u, at = np.unique(slot[rows == r], return_inverse=True)
-                slots.append(u.astype("<i4").tobytes())
-                weights.append(np.bincount(at, weight[rows == r]).astype("<f4").tobytes())
+        code, slots, weights = [], [], []
+        for slot, weight, rows, stats in hashed(batch.column(0)):
+            code.append((votes(stats) + 1) @ powers)
+            key, at = np.unique(rows << HASH_BITS | slot, return_inverse=True)  # by row, then slot
+            total = np.bincount(at, weight, len(key)).astype("<f4")
+            cuts = np.searchsorted(key, np.arange(1, len(stats)) << HASH_BITS)
+            slots += [s.tobytes() for s in np.split((key & ((1 << HASH_BITS) - 1)).astype("<i4"), cuts)]
+            weights += [t.tobytes() for t in np.split(total, cuts)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(code) if code else [], pa.int32()), pa.array(slots, pa.binary()), pa.array(weights, pa.binary())], ["code", "slot", "weight"])
 
 
@@ -214,13 +220,13 @@ def _score(model_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, w, bias = model_b.value
         for batch in batches:
-            score = [1 / (1 + np.exp(-np.clip(np.bincount(rows, w[slot] * weight, m) + bias, -30, 30))) for slot, weight, rows, m in hashed(batch.column(1))]
-            vote = [votes(s) for s, *_ in statistics(batch.column(1))]
-            empty = [s[:, 0] == 0 for s, *_ in statistics(batch.column(1))]
-            p = np.concatenate(score) if score else np.zeros(0)
-            q = weak.posterior(np.concatenate(vote)) if vote else np.zeros(0)
-            none = np.concatenate(empty) if empty else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(none, 0.0, p)), pa.array(np.where(none, 0.0, q))], ["doc_id", "score", "posterior"])
+            score, posterior = [np.zeros(0)], [np.zeros(0)]
+            for slot, weight, rows, stats in hashed(batch.column(1)):
+                some = stats[:, 0] > 0
+                p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[slot] * weight, len(stats)) + bias, -30, 30)))
+                score.append(np.where(some, p, 0.0))
+                posterior.append(np.where(some, weak.posterior(votes(stats)), 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(score)), pa.array(np.concatenate(posterior))], ["doc_id", "score", "posterior"])
 
     return run
 
@@ -244,4 +250,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     y = weak.posterior(decode(np.array([r.code for r in rows], np.int64)).reshape(-1, len(LABELLERS)))
     w, bias = fit_linear([(np.frombuffer(r.slot, "<i4"), np.frombuffer(r.weight, "<f4").astype(float)) for r in rows], y)
     kind = dict(own.dtypes)["doc_id"]
-    return own.mapInArrow(_score(spark.sparkContext.broadcast((weak, w, bias))), f"doc_id {kind}, score double, posterior double")
+    return own.mapInArrow(tidy(_score(spark.sparkContext.broadcast((weak, w, bias)))), f"doc_id {kind}, score double, posterior double")

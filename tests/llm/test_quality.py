@@ -29,6 +29,55 @@ def test_statistics():
     assert dict(zip(Q.STATS, t[0], strict=True))["repeats"] == 0.5
 
 
+def plain_votes(text):
+    """The labellers, written plainly."""
+    raw = text.encode()
+    words = raw.translate(bytes(range(256))).split()
+    n, shown = len(words), max(sum(b not in b" \t\n\x0b\x0c\r" for b in raw), 1)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    odd = lambda b: not letter(b) and not 48 <= b <= 57
+    letters = sum(map(letter, raw))
+    low = [w.lower() for w in words]
+    d = max(n, 1)
+    s = {
+        "n_words": n, "alpha": letters / shown, "marks": sum(b in b"#$%&*<>@[]\\^_`{|}~!=+" for b in raw) / shown, "upper": sum(65 <= b <= 90 for b in raw) / max(letters, 1),
+        "distinct": len(set(low)) / max(10 * np.sqrt(n) if n > 100 else n, 1), "repeats": sum(a == b for a, b in zip(low, low[1:])) / d, "word_len": sum(b not in b" \t\n\x0b\x0c\r" for b in raw) / d,
+        "stops": sum(w[-1] in b".!?" for w in words) / d, "single": sum(len(w) == 1 and odd(w[0]) for w in words) / d, "doubled": sum(len(w) > 2 and w[-1] == w[-2] and odd(w[-1]) for w in words) / d,
+    }
+    out = []
+    for _, name, low_, high, good_low, good_high in Q.LABELLERS:
+        x = s[name]
+        bad = n > 0 and ((low_ is not None and x < low_) or (high is not None and x > high))
+        good = (good_low is not None or good_high is not None) and (good_low is None or x >= good_low) and (good_high is None or x <= good_high)
+        out.append(-1 if bad else int(good))
+    return out
+
+
+def test_query_equals_plain_version(spark, sf):
+    """op5: votes and EM over all texts, then each text's posterior; its score from sums over features one by one."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    pattern = {i: tuple(plain_votes(t)) for i, t in docs}
+    kinds = sorted(set(pattern.values()), key=lambda v: sum((x + 1) * 3**k for k, x in enumerate(v)))
+    counts = np.array([sum(p == k for p in pattern.values()) for k in kinds], float)
+    weak = Q.WeakLabels(np.array(kinds), counts)
+    got = {r.doc_id: r for r in QUERIES["op5_quality"](spark, sf).collect()}
+    for i, t in docs:
+        want = weak.posterior(np.array([pattern[i]]))[0] if t.split() else 0.0
+        assert abs(got[i].posterior - want) < 1e-9, i
+
+
+def test_sparse_rows_equal_sums():
+    column = pa.array(["one two two three", "", "a a a b", None, "x"])
+    (batch,) = Q._sparse(iter([pa.RecordBatch.from_arrays([column], ["text"])]))
+    ((slot, weight, rows, stats),) = Q.hashed(column)
+    for r in range(len(column)):
+        want = {}
+        for s, v in zip(slot[rows == r].tolist(), weight[rows == r].tolist()):
+            want[s] = want.get(s, 0) + v
+        found = dict(zip(np.frombuffer(batch.column(1)[r].as_py(), "<i4").tolist(), np.frombuffer(batch.column(2)[r].as_py(), "<f4").tolist()))
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op5_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").collect()
