@@ -49,18 +49,27 @@ def test_nearest_ancestor(spark):
 def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    df = Counter(w for r in docs for w in {x.strip("".join(map(chr, range(33, 48))) + ":;?!|") for x in r.text.lower().split()} if w in L.VOCABULARY)
+    df = Counter(w for r in docs for w in set(L.terms(r.text)) if w in L.VOCABULARY)
     got = {r.doc_id: r for r in QUERIES["op1_license_scan"](spark, sf).collect()}
     assert len(got) == len(docs)
-    named = 0
+    own, shelves = {}, {}
     for r in docs:
-        want = None
-        for line in r.text.split("\n"):
-            if "icense" in line:
-                name, score = brute_best(line, len(docs), df)
-                want = max(want or (0, ""), (score, name)) if score >= 0.6 else want
-        assert got[r.doc_id].license == (want and want[1]), r.doc_id
-        if want:
-            named += 1
-            assert abs(got[r.doc_id].score - want[0]) < 0.02
-    assert named > 5
+        units = [line for line in r.text.split("\n") if L._ANCHOR.search(line)]
+        units += [p for line in units for p in L._SENTENCE.split(line) if L._ANCHOR.search(p)]
+        states = "icense" in r.text or "icence" in r.text
+        found = [brute_best(u, len(docs), df)[::-1] for u in units + [r.text] * states]
+        own[r.doc_id] = max((f for f in found if f[0] >= 0.6), default=None)
+        shelf = f"{r.source}/{r.lang}/shelf{r.doc_id // 200}"
+        if states and own[r.doc_id]:
+            shelves.setdefault(shelf, []).append((-own[r.doc_id][0], f"{shelf}/LICENSE-{r.doc_id}.txt", own[r.doc_id][1]))
+    origins = Counter()
+    for r in docs:
+        shelf, g = f"{r.source}/{r.lang}/shelf{r.doc_id // 200}", got[r.doc_id]
+        origins[g.origin] += 1
+        if own[r.doc_id]:
+            assert (g.license, g.origin) == (own[r.doc_id][1], "own") and abs(g.score - own[r.doc_id][0]) < 1e-6
+        elif shelf in shelves:
+            assert (g.origin, g.directory) == ("inherited", shelf) and g.license in {x[2] for x in shelves[shelf] if x[0] <= min(shelves[shelf])[0] + 1e-6}
+        else:
+            assert g.license is None and g.origin is None
+    assert origins["own"] > 5 and origins["inherited"] > 20
