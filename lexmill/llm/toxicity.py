@@ -83,7 +83,16 @@ def slots(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
     return ((h >> np.uint64(64 - BUCKET_BITS) << np.uint64(SLOT_BITS - BUCKET_BITS)) | (mix(h ^ _SALT[x]) >> np.uint64(64 - SLOT_BITS + BUCKET_BITS))).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bucket_bits(labelled: int) -> int:
+    """Bits of the number of buckets: more for more labelled texts, so that what one task sums up does not grow."""
+    return min(16, BUCKET_BITS + max(0, (labelled // 200_000).bit_length()))
+
+
+def _count(bits: int):
+    return lambda batches: _counted(batches, bits)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Counts of a partition, by bucket of h: distinct (h, x) with their h' x, and counts by kind. In: text, kind of text
     (1: toxic, 2: for calibration)."""
     held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int32)]
@@ -102,9 +111,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 got, waiting = _merged(*map(np.concatenate, held)), 0
                 held = tuple([g] for g in got)
                 if len(got[0]) > 700_000:
-                    yield from _packed(*got)
+                    yield from _packed(*got, bits)
                     held = tuple([g[:0]] for g in got)
-    yield from _packed(*_merged(*map(np.concatenate, held)))
+    yield from _packed(*_merged(*map(np.concatenate, held)), bits)
 
 
 def _merged(keys: np.ndarray, lows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +123,8 @@ def _merged(keys: np.ndarray, lows: np.ndarray, counts: np.ndarray) -> tuple[np.
     return keys[at], lows[order][at], np.add.reduceat(counts[order], at, axis=0) if len(at) else counts
 
 
-def _packed(keys: np.ndarray, lows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    bucket = (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _packed(keys: np.ndarray, lows: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     for b in np.unique(bucket):
         lo, hi = np.searchsorted(bucket, [b, b + 1])
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([lows[lo:hi].astype("<u4").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(counts[lo:hi].T).astype("<i4").tobytes()], pa.binary())], ["bucket", "keys", "lows", "counts"])
@@ -129,9 +138,12 @@ def _unpacked(columns: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u4") for x in columns[1]]).astype(np.int64), np.concatenate([np.frombuffer(c, "<i4").reshape(4, -1).T for c in columns[2]])
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    got = _merged(*_unpacked([table.column(c).to_pylist() for c in ("keys", "lows", "counts")]))
-    return pa.Table.from_batches(list(_packed(*got)))
+def _sum(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        got = _merged(*_unpacked([table.column(c).to_pylist() for c in ("keys", "lows", "counts")]))
+        return pa.Table.from_batches(list(_packed(*got, bits)))
+
+    return run
 
 
 def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,10 +389,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, calibrate: Column, id_col: str
     totals = marks.agg(F.count("*"), F.count_if("later"), F.countDistinct("label")).first()
     if totals[2] < 2:
         return own.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("word_log_ratio"))
-    few = totals[0] <= MAX_BROADCAST_LABELS
+    few, bits = totals[0] <= MAX_BROADCAST_LABELS, bucket_bits(totals[0])
     known = own.join(F.broadcast(marks) if few else marks, "doc_id")
-    counted = known.select("text", (F.col("label") + 2 * F.col("later").cast("int")).alias("kind")).mapInArrow(_count, _COUNTS)
-    counts = saved(counted.groupBy("bucket").applyInArrow(_sum, _COUNTS))
+    counted = known.select("text", (F.col("label") + 2 * F.col("later").cast("int")).alias("kind")).mapInArrow(_count(bits), _COUNTS)
+    counts = saved(counted.groupBy("bucket").applyInArrow(_sum(bits), _COUNTS))
     send = spark.sparkContext.broadcast
     low = np.zeros(1 << (BITS * LOW), np.int64)
     for r in counts.select("lows").mapInArrow(_continuations, "low int, n long").groupBy("low").agg(F.sum("n").alias("n")).collect():

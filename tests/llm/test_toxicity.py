@@ -58,7 +58,7 @@ def test_ratios_follow_the_formula():
     train = [("the cat sat on the mat", 0), ("a dog, the cat", 0), ("you vile cat scum", 1), ("vile vile  mattresses", 1)]
     batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in train]), pa.array([y for _, y in train])], ["text", "label"])
     names = ["keys", "lows", "counts"]
-    keys, lows, n = T._unpacked([sum((r.column(c).to_pylist() for r in T._count(iter([batch]))), []) for c in names])
+    keys, lows, n = T._unpacked([sum((r.column(c).to_pylist() for r in T._count(T.BUCKET_BITS)(iter([batch]))), []) for c in names])
     shared = T.shared_model(np.bincount(lows, minlength=1 << 20))
     ratio = np.full(1 << T.SLOT_BITS, T.ABSENT, np.int8)
     for b in np.unique(keys >> np.uint64(64 - T.BUCKET_BITS)):
