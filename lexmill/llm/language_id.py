@@ -202,7 +202,7 @@ def _scorer(model_b, stretch: int, with_text: bool, kept: int):
         for batch in batches:
             data, offs = byte_view(batch.column(1))
             best, conf = [], []
-            for i, j in chunks(offs, 1 << 20):
+            for i, j in chunks(offs, 1 << 19):
                 text = data[offs[i] : offs[j]].tobytes().decode("utf-8", "replace")
                 points = _points(text)
                 # Row starts in characters: bytes that begin a character, counted.

@@ -60,7 +60,7 @@ class _Words:
     """Token ids of space-delimited words, kept for words met before. Encoding word by word equals encoding the text:
     the tokenizer drops white space, never joins across it, and parts letters from punctuation."""
 
-    def __init__(self, path: str, most: int = 150_000) -> None:
+    def __init__(self, path: str, most: int = 100_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -96,7 +96,7 @@ class _Words:
 
 def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty."""
-    for lo, hi in chunks(byte_view(column)[1], 1 << 20):
+    for lo, hi in chunks(byte_view(column)[1], 1 << 19):
         part = pc.fill_null(column.take(pa.array(np.arange(lo, hi))).cast(pa.string()), "")  # a copy without an offset
         # Case is dropped anyway, and a mark behind a letter is a word of its own: so words recur more often.
         part = pc.replace_substring(pc.ascii_lower(part), "\n", " \n ")
@@ -197,7 +197,7 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, inside: float = 8.0, broken: float = 24.0, block: int = 300_000, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, inside: float = 8.0, broken: float = 24.0, block: int = 200_000, keep_ids: bool = True) -> DataFrame:
     """Pieces of documents placed in sequences of at most `size` tokens, in the order of the table's partitions.
 
     Each partition packs its own rows in blocks of `block` tokens, and the last window of a block moves on to the next,

@@ -18,6 +18,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,8 @@ _RUN = re.compile(r"[A-Za-z0-9_+/=-]{8,}")
 _NAMED = re.compile(r"(?:token|secret|password|passwd|api[_-]?key)[\"']?\s*[=:]\s*[\"']?$", re.I)
 _NEAR = re.compile(r"token|secret|pass|key|auth|cred|login|pwd", re.I)
 _PERSON = re.compile(r"call|phone|tel|fax|mobile|mail|contact|card|visa|pay|server|host|addr|ip\b", re.I)
-_HAS = r"[0-9@]|(?i:\bat\b.{1,60}\bdot\b)|(?i:[\[(]at[\])])"
+_HINTS = (" dot ", " DOT ", "(at)", "[at]", "(AT)", "[AT]")  # of an address without digit or at sign
+_HAS = r"[0-9@]| (?:dot|DOT) |[\[(](?:at|AT)[\])]"
 # What the generators propose. Each can begin only where a run of its characters begins, so a long run costs one try.
 _PROPOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(](?:at|AT)[\])] ?| (?:at|AT) | @ )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) | \. |\.)[A-Za-z0-9-]{1,63}){1,4}"),
@@ -324,7 +327,7 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Trees fitted on at most about MAX_SAMPLE proposals of texts that can hold a span, chosen by hash of the text."""
-    own = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(_HAS))
+    own = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]") | reduce(or_, (F.contains("text", F.lit(h)) for h in _HINTS)))
     total = own.count()
     size = 1 << 20
     share = min(1.0, MAX_SAMPLE / 4 / max(total, 1))

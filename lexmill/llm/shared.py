@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-BATCH_BYTES = 8 << 20  # of an Arrow batch: whole texts can be long, and a batch is in memory twice
+BATCH_BYTES = 2 << 20  # of an Arrow batch: whole texts can be long, and a batch is in memory twice
 _written: list[list[str]] = []
 
 
@@ -35,7 +35,7 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}.parquet"
     for paths in _written:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # writers hold a row group in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +58,7 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the bytes and rows of an Arrow batch in this session; smaller bounds that it has stay."""
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
         held = spark.conf.get(key, None)
