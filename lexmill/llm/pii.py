@@ -44,19 +44,21 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_RUN = re.compile(r"[A-Za-z0-9_+/=-]{8,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z_+/=-]*[0-9][A-Za-z0-9_+/=-]*")
 _NAMED = re.compile(r"(?:token|secret|password|passwd|api[_-]?key)[\"']?\s*[=:]\s*[\"']?$", re.I)
 _NEAR = re.compile(r"token|secret|pass|key|auth|cred|login|pwd", re.I)
 _PERSON = re.compile(r"call|phone|tel|fax|mobile|mail|contact|card|visa|pay|server|host|addr|ip\b", re.I)
 _HINTS = (" dot ", " DOT ", "(at)", "[at]", "(AT)", "[AT]")  # of an address without digit or at sign
 _HAS = r"[0-9@]| (?:dot|DOT) |[\[(](?:at|AT)[\])]"
-# What the generators propose. Each can begin only where a run of its characters begins, so a long run costs one try.
+# What the generators propose. Each begins with a digit where no run of digits goes on, so a long run costs one try.
 _PROPOSE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(](?:at|AT)[\])] ?| (?:at|AT) | @ )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) | \. |\.)[A-Za-z0-9-]{1,63}){1,4}"),
-    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))"),
-    "card": re.compile(r"(?<![0-9])[0-9](?:[ ./-]{0,3}[0-9]){12,18}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])\(?[0-9](?:[ ().-]{0,3}[0-9]){6,14}(?![0-9])"),
-}
+    "ip": re.compile(r"[0-9](?<![0-9A-Za-z:.][0-9])[0-9]{0,2}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])"),
+    "card": re.compile(r"[0-9](?<![0-9][0-9])(?:[ ./-]{0,3}[0-9]){12,18}(?![0-9])"),
+    "phone": re.compile(r"[0-9](?<![0-9+][0-9])(?:[ ().-]{0,3}[0-9]){6,14}(?![0-9])"),
+}
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_AT = re.compile(r" (?:at|AT|@) | ?[\[(](?:at|AT)[\])] ?")
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[(](?:dot|DOT)[\])] ?| (?:dot|DOT) | \. |\.)[A-Za-z0-9-]{1,63}){1,4}")
 
 
 def luhn(digits: str) -> bool:
@@ -110,9 +112,17 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     """Spans of each kind that may overlap: what the generators find, and for secrets runs of eight signs or more with a
     digit, and the value alone in `name=value`."""
     out = {(kind, *m.span()) for kind, p in _PROPOSE.items() for m in p.finditer(text)}
+    out = {(kind, s - (kind == "phone" and text[s - 1 : s] == "("), e) for kind, s, e in out}
+    if text.count(":") > 1:
+        out |= {("ip", *m.span()) for m in _IP6.finditer(text)}
+    for m in _AT.finditer(text):
+        lo = max(0, m.start() - 64)
+        start, host = lo + len(text[lo : m.start()].rstrip(_LOCAL)), _HOST.match(text, m.end())
+        if host and start < m.start():
+            out.add(("email", start, host.end()))
     for m in _RUN.finditer(text):
         lo, hi = m.span()
-        if any(c.isdigit() for c in m.group()):
+        if hi - lo >= 8:
             out.add(("secret", lo, hi))
             eq = text.rfind("=", lo, hi - 1)
             if eq > lo and hi - eq > 8:
@@ -194,7 +204,7 @@ def examples(text: str) -> list[tuple[str, list[float], int]]:
         if named:  # out of its context
             bare = text[max(0, s - 60) : max(0, s - 24)]
             out.append((kind, features(f"{bare} {text[s:e]} {bare}", len(bare) + 1, len(bare) + 1 + e - s), 1))
-    for k, (kind, s, e) in ((k, x) for x in base[:20] for k in range(4)):
+    for k, (kind, s, e) in ((k, x) for x in base[:8] for k in range(4)):
         new = rewritten(kind, text[s:e], k)
         around = text[max(0, s - 60) : s] + new + text[e : e + 60]
         lo, hi = min(s, 60), min(s, 60) + len(new)
@@ -330,7 +340,7 @@ def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     own = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]") | reduce(or_, (F.contains("text", F.lit(h)) for h in _HINTS)))
     total = own.count()
     size = 1 << 20
-    share = min(1.0, MAX_SAMPLE / 4 / max(total, 1))
+    share = min(1.0, MAX_SAMPLE / 8 / max(total, 1))
     drawn = own.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(size)) < F.lit(max(1, int(share * size))))
     found = drawn.mapInArrow(tidy(_examples), "kind string, x array<double>, y int").distinct().orderBy(F.xxhash64("kind", "x")).limit(MAX_SAMPLE).collect()
     rows = sorted((r.kind, tuple(r.x), r.y) for r in found)
