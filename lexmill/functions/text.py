@@ -30,7 +30,12 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
 
 def collapse(c: Column) -> Column:
     """White space of any length to one space, none at the ends."""
-    return F.btrim(F.regexp_replace(c, r"\s+", " "))
+    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -59,11 +64,11 @@ def normalize_author(c: Column, fold: bool = True) -> Column:
 def normalize_doi(c: Column) -> Column:
     """Lower case, the first fitting prefix off, no punctuation at the end."""
     prefix = "|".join(p.replace(".", r"\.") for p in DOI_PREFIXES)
-    return _blank_to_null(F.rtrim(F.trim(F.regexp_replace(F.lower(F.trim(c)), f"^({prefix})", "")), F.lit(".,;:")))
+    return _blank_to_null(F.rtrim(strip(F.regexp_replace(F.lower(strip(c)), f"^({prefix})", "")), F.lit(".,;:")))
 
 
 def normalize_arxiv(c: Column) -> Column:
-    return _blank_to_null(F.trim(F.regexp_replace(F.lower(F.trim(c)), "^arxiv:", "")))
+    return _blank_to_null(strip(F.regexp_replace(F.lower(strip(c)), "^arxiv:", "")))
 
 
 def valid_arxiv(c: Column) -> Column:

@@ -21,15 +21,30 @@ def count_tokens(s: str) -> int:
 
 
 def section_paths(sections: DataFrame, spark: SparkSession) -> DataFrame:
-    """Titles from the root to each section (paper_id, section_id, parent_section_id, title), by a recursive query."""
-    sections.createOrReplaceTempView("_lexmill_sections")
-    return spark.sql("""
-        WITH RECURSIVE up AS (
-          SELECT paper_id, section_id, parent_section_id, array(title) AS path, 0 AS depth FROM _lexmill_sections WHERE parent_section_id IS NULL
+    """Titles from the root to each section (paper_id, section_id, parent_section_id, title), by a recursive query.
+
+    A section whose parent is missing begins its path itself, whatever its depth; one on a circle of parents, or below
+    one, is its own path. Sections of a paper must differ in their ids.
+    """
+    own = sections.select("paper_id", "section_id", "parent_section_id", "title")
+    known = own.select("paper_id", F.col("section_id").alias("parent_section_id")).distinct()
+    top = own.where("parent_section_id is null").unionByName(own.where("parent_section_id is not null").join(known, ["paper_id", "parent_section_id"], "left_anti"))
+    levels = (own.groupBy("paper_id").count().agg(F.max("count")).first()[0] or 1) + 1  # no path is longer
+    if int(spark.conf.get("spark.sql.cteRecursionRowLimit", "1000000")) >= 0:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", -1)  # rows, not levels: a large table has many
+    found = spark.sql(
+        f"""
+        WITH RECURSIVE up MAX RECURSION LEVEL {levels} AS (
+          SELECT paper_id, section_id, array(title) AS path, 0 AS depth FROM {{top}}
           UNION ALL
-          SELECT s.paper_id, s.section_id, s.parent_section_id, concat(u.path, array(s.title)), u.depth + 1
-          FROM _lexmill_sections s JOIN up u ON s.paper_id = u.paper_id AND s.parent_section_id = u.section_id WHERE u.depth < 50)
-        SELECT paper_id, section_id, path, depth FROM up""")
+          SELECT s.paper_id, s.section_id, concat(u.path, array(s.title)), u.depth + 1
+          FROM {{own}} s JOIN up u ON s.paper_id = u.paper_id AND s.parent_section_id = u.section_id)
+        SELECT paper_id, section_id, path, depth FROM up""",
+        top=top,
+        own=own,
+    )
+    circle = own.join(found.select("paper_id", "section_id"), ["paper_id", "section_id"], "left_anti").select("paper_id", "section_id", F.array("title").alias("path"), F.lit(0).alias("depth"))
+    return found.unionByName(circle)
 
 
 def merge_paragraphs(items: DataFrame, doc: str = "paper_id", order: str = "order") -> DataFrame:

@@ -30,6 +30,11 @@ def block_lookup(requests: DataFrame, blocks: DataFrame, ids: str = "block_ids")
     return asked.join(blocks, "block_id")
 
 
+def requested_blocks(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks asked for by rows (request_id, pos, block_id): for requests too long for one list; unknown ids are left out."""
+    return asked.join(blocks, "block_id")
+
+
 def field_mismatch(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side alone: missing (expected only) or unknown (found only)."""
     a = expected.select(*keys).distinct().withColumn("_a", F.lit(True))

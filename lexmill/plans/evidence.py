@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import layout
@@ -100,9 +100,10 @@ def line_kinds(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(layout.line_kind(F.col("s")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("block_requests", "SELECT request_id, pos, o_orderkey AS block_id, o_totalprice FROM (SELECT l_suppkey AS request_id, o.pos, o.id FROM (SELECT l_suppkey, list(l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS ids FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1) q, LATERAL (SELECT unnest(q.ids) AS id, generate_subscripts(q.ids, 1) - 1 AS pos) o) JOIN orders ON o_orderkey = id")
+@query("block_requests", "SELECT request_id, pos, o_orderkey AS block_id, o_totalprice FROM (SELECT l_suppkey AS request_id, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1 AS pos FROM lineitem) JOIN orders ON o_orderkey = l_orderkey")
 def block_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Orders asked for by lists of keys, in the lists' order."""
-    lines = table(spark, d, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("request_id")).agg(F.array_sort(F.collect_list("l_orderkey")).alias("ids"))
+    """Orders asked for by each supplier's lines, a row a request, in the order of their keys."""
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey")) - 1
+    asked = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("request_id"), pos.cast("long").alias("pos"), F.col("l_orderkey").alias("block_id"))
     blocks = table(spark, d, "orders").select(F.col("o_orderkey").alias("block_id"), "o_totalprice")
-    return evidence.block_lookup(lines, blocks, "ids").select("request_id", F.col("pos").cast("long").alias("pos"), "block_id", "o_totalprice")
+    return evidence.requested_blocks(asked, blocks).select("request_id", "pos", "block_id", "o_totalprice")

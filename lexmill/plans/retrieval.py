@@ -90,16 +90,14 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "dense_topk",
-    """WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS score FROM embeddings, q)
-SELECT 0::BIGINT AS query_id, id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20""",
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], qv) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS score FROM embeddings, q)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20""",
 )
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 vectors nearest by exact cosine to one stated query vector."""
+    """The 20 vectors nearest by exact cosine to each of the stated queries: vectors whose id is divisible by 50."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    scored = retrieval.dense_scores(v, q, "vec_id", "embedding", "q", "e").withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, 20).select("query_id", "id", "score", "rank")
+    return retrieval.dense_topk(v, v.where("vec_id % 50 = 0"), 20, "vec_id", "embedding", "vec_id", "embedding")
 
 
 @query("grep_lines", r"SELECT doc_id AS id, n AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(line, '[Ll]icen[cs]e')")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import citations as C
 from lexmill.functions import layout as L
 from lexmill.functions import text as T
-from lexmill.operators import documents, evidence, ledger, metrics, records, retrieval
+from lexmill.operators import documents, evidence, ledger, metrics, records, retrieval, workflow
 from lexmill.sources import tables
 
 
@@ -146,3 +146,26 @@ def test_duplicate_pairs_cut_no_block(spark):
     got = records.duplicate_pairs(spark.createDataFrame(same + short, cols)).select("a_id", "b_id", "relation_type").collect()
     assert sum(r.relation_type == "exact_duplicate" for r in got) == 201 * 200 // 2
     assert [(r.a_id, r.b_id) for r in got if r.a_id >= 900] == [(900, 901)]
+
+
+def test_section_paths_deep_orphan_and_circle(spark):
+    rows = [("p", f"s{i}", f"s{i - 1}" if i else None, str(i)) for i in range(60)]
+    rows += [("p", "o", "gone", "O"), ("p", "under", "o", "U"), ("p", "x", "y", "X"), ("p", "y", "x", "Y"), ("q", "s1", None, "Q")]
+    df = spark.createDataFrame(rows, "paper_id string, section_id string, parent_section_id string, title string")
+    got = {(r.paper_id, r.section_id): r.path for r in documents.section_paths(df, spark).collect()}
+    assert len(got) == len(rows) and got["p", "s59"] == [str(i) for i in range(60)]
+    assert got["p", "o"] == ["O"] and got["p", "under"] == ["O", "U"] and got["p", "x"] == ["X"] and got["p", "y"] == ["Y"] and got["q", "s1"] == ["Q"]
+    assert documents.section_paths(df.limit(0), spark).count() == 0
+
+
+def test_promotion_issues_and_nulls(spark):
+    schema = "candidate_id int, status string, workspace_id string, agent_run_id string, own_workspace_id string, own_run_id string, claim_ids array<string>, evidence_ids array<string>, claim_evidence map<string,array<string>>, evidence_claims map<string,array<string>>"
+    links = ({"c": ["e"], "d": ["f"]}, {"e": ["c"], "f": ["d"]})
+    rows = [(1, "proposed", "w", "r", "w", "r", ["c"], ["e"], *links), (2, "proposed", "w", "r", "w", "r", ["c"], ["f"], *links), (3, None, "v", "r", "w", "r", None, ["zz"], *links)]
+    got = {r.candidate_id: r.issues for r in workflow.promotion_issues(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: [], 2: ["claims_disagree", "evidence_unrelated"], 3: ["not_proposed", "other_workspace", "no_provenance", "unknown_evidence", "evidence_unrelated"]}
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    row = spark.range(1).select(T.normalize_doi(F.lit("\t https://doi.org/10.1/ABC. \n")).alias("doi"), T.collapse(F.lit(" a  b\t")).alias("c")).first()
+    assert (row.doi, row.c) == ("10.1/abc", "a b")
