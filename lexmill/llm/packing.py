@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .shared import byte_view, chunks, small_batches, tidy
 
 END_OF_TEXT = 1
+CHUNK = 4 << 20  # bytes of text tokenised together
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
@@ -94,9 +95,23 @@ class _Words:
         return self.ids, self.begin[at], self.size[at]
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of batches together, up to about CHUNK bytes: looking words up in the store has a cost a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        texts.append(batch.column(1))
+        size += batch.column(1).nbytes
+        if size >= CHUNK:
+            yield ids, pa.concat_arrays(texts)
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(texts)
+
+
 def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty."""
-    for lo, hi in chunks(byte_view(column)[1], 1 << 21):
+    for lo, hi in chunks(byte_view(column)[1], CHUNK):
         part = pc.fill_null(column.take(pa.array(np.arange(lo, hi))).cast(pa.string()), "")  # a copy without an offset
         # Case is dropped anyway, and a mark behind a letter is a word of its own: so words recur more often.
         part = pc.replace_substring(pc.ascii_lower(part), "\n", " \n ")
@@ -184,8 +199,8 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
                 cols = list(zip(*rows[lo : lo + 4000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.list_(pa.int32()))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in batches:
-            for doc, (ids, stop) in zip(batch.column(0).to_pylist(), tokenize(batch.column(1), words), strict=False):
+        for names, texts in merged(batches):
+            for doc, (ids, stop) in zip(names, tokenize(texts, words), strict=True):
                 docs.append([doc, ids, 0, len(ids)])
                 stops.append(stop)
                 held += len(ids)
