@@ -95,23 +95,24 @@ class _Words:
         return self.ids, self.begin[at], self.size[at]
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
-    """Ids and texts of batches together, up to about CHUNK bytes: looking words up in the store has a cost a time."""
+def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of batches together, up to about `most` bytes: looking words up in the store has a cost a time."""
     ids, texts, size = [], [], 0
     for batch in batches:
         ids += batch.column(0).to_pylist()
         texts.append(batch.column(1))
         size += batch.column(1).nbytes
-        if size >= CHUNK:
+        if size >= most:
             yield ids, pa.concat_arrays(texts)
             ids, texts, size = [], [], 0
     if ids:
         yield ids, pa.concat_arrays(texts)
 
 
-def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty."""
-    for lo, hi in chunks(byte_view(column)[1], CHUNK):
+def tokenize(column: pa.Array, words: _Words, most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row its ids, END_OF_TEXT last, and the positions after which a sentence ends. Null counts as empty. About
+    `most` bytes of text, one row at least, are in work at once."""
+    for lo, hi in chunks(byte_view(column)[1], most):
         part = pc.fill_null(column.take(pa.array(np.arange(lo, hi))).cast(pa.string()), "")  # a copy without an offset
         # Case is dropped anyway, and a mark behind a letter is a word of its own: so words recur more often.
         part = pc.replace_substring(pc.ascii_lower(part), "\n", " \n ")
@@ -138,7 +139,7 @@ def tokenize(column: pa.Array, words: _Words) -> Iterator[tuple[np.ndarray, np.n
             yield out, stops[np.concatenate([[True], stops[1:] != stops[:-1]])] if len(stops) else stops
 
 
-def _packer(path: str, size: int, inside: float, broken: float, block: int, keep_ids: bool):
+def _packer(path: str, size: int, inside: float, broken: float, block: int, keep_ids: bool, text_bytes: int, words_kept: int):
     def emit(shard: int, serial: int, docs: list, cuts: np.ndarray, total: int) -> tuple[list, list, int]:
         """Pieces up to position total; docs: [id, ids, start in the document, its tokens]. Returns also what is left."""
         rows, edges, k, at = [], [0, *cuts.tolist()], 0, 0
@@ -180,7 +181,7 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, serial, words = TaskContext.get().partitionId(), 0, _Words(path)
+        shard, serial, words = TaskContext.get().partitionId(), 0, _Words(path, words_kept)
         docs, stops, held = [], [], 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -199,8 +200,8 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
                 cols = list(zip(*rows[lo : lo + 4000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.list_(pa.int32()))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for names, texts in merged(batches):
-            for doc, (ids, stop) in zip(names, tokenize(texts, words), strict=True):
+        for names, texts in merged(batches, text_bytes):
+            for doc, (ids, stop) in zip(names, tokenize(texts, words, text_bytes), strict=True):
                 docs.append([doc, ids, 0, len(ids)])
                 stops.append(stop)
                 held += len(ids)
@@ -212,13 +213,14 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, inside: float = 8.0, broken: float = 24.0, block: int = 200_000, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, inside: float = 8.0, broken: float = 24.0, block: int = 200_000, keep_ids: bool = True, text_bytes: int = CHUNK, words_kept: int = 500_000) -> DataFrame:
     """Pieces of documents placed in sequences of at most `size` tokens, in the order of the table's partitions.
 
     Each partition packs its own rows in blocks of `block` tokens, and the last window of a block moves on to the next,
     so memory is bounded and only a partition's last sequence can be short. One row a piece: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id (partition and serial), offset, ids (null unless keep_ids). Null and empty texts
-    are their end token alone. Repeated rows are packed as often as given; null ids stay null.
+    are their end token alone. Repeated rows are packed as often as given; null ids stay null. text_bytes (of text
+    tokenised together) and words_kept (in a task's store of words) trade memory for time; the rows are the same.
     """
     small_batches(docs.sparkSession, 2_000)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_packer(tokenizer_path, size, inside, broken, block, keep_ids)), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_packer(tokenizer_path, size, inside, broken, block, keep_ids, text_bytes, words_kept)), SCHEMA)

@@ -65,5 +65,6 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, in sequences of 2048 tokens."""
-    return pack(docs, tokenizer_path(), keep_ids=False).drop("ids")
+    """Pieces of the documents left, in sequences of 2048 tokens. Executors still hold what the earlier stages took, so
+    tasks have a smaller store of words and less text in work than by default."""
+    return pack(docs, tokenizer_path(), keep_ids=False, text_bytes=1 << 19, words_kept=100_000).drop("ids")
