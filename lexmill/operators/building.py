@@ -85,7 +85,7 @@ def trim_tokens(text: Column, budget: Column) -> Column:
     word, cjk = r"[A-Za-z0-9]++(?:['\-][A-Za-z0-9]++)*+", T.CJK
     gap = r"[^A-Za-z0-9\u4e00-\u9fff\u3040-\u30ff]*+"
     pattern = F.concat(F.lit(rf"^(?:{gap}(?:{word}|{cjk})){{0,"), F.greatest(budget, F.lit(0)).cast("string"), F.lit(rf"}}+{gap}"))
-    return F.when(T.token_count(text) <= budget, text).otherwise(F.regexp_substr(text, pattern))
+    return F.when(text.isNull() | (T.token_count(text) <= budget), text).otherwise(F.coalesce(F.regexp_substr(text, pattern), F.lit("")))  # of an empty match it gives null
 
 
 def chunk_context(chunks: DataFrame, paths: DataFrame, most: int) -> DataFrame:
