@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from .decontamination import contamination
 from .language_id import identify_languages
 from .license_scan import license_scan
+from .merkle import fold as folded
+from .merkle import leaf_digest, merkle_manifest, proof_digests
+from .mixing import mix_sources, ranks
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .pii import find_pii
@@ -91,6 +94,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, train=~held).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+#: Fixed values of op11's contract: weights of the sources in their order, again and again.
+SOURCE_WEIGHTS = [5, 2, 1]
+
+
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dealt = F.element_at(F.array(*map(F.lit, SOURCE_WEIGHTS)), (F.col("rank") % len(SOURCE_WEIGHTS) + 1).cast("int"))
+    weights = ranks(docs.select("source"), "source").select("source", dealt.alias("weight"))
+    return mix_sources(docs, weights).select("doc_id", "size", "source_size", "target", "taken")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf with its proof; rows whose fold is 0 are folded again from the leaf of a text in lower case."""
+    docs = _table(spark, sf_dir, "documents")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(fold("doc_id", 5) == 0, leaf_digest(*others, F.translate("text", UPPER, LOWER)))
+    rows = docs.select("*", changed.alias("changed"))
+    told = merkle_manifest(rows, leaf_digest(*others, F.col("text")), keep=["changed"])
+    again = folded(F.coalesce("changed", "leaf"), F.col("proof"))
+    out = told.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_digests(F.col("proof")), 256).alias("proof_sha256"), again.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -102,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": op8_vector_search,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_source_mix": op11_source_mix,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -122,5 +153,83 @@ e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 r AS (SELECT x AS root, y AS node FROM e UNION SELECT r.root, e.y FROM r JOIN e ON e.x = r.node)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(root) AS c FROM r GROUP BY node) m ON m.node = w.doc_id
+""",
+    "op11_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, source_size, [5.0, 2.0, 1.0][(k - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, k FROM s),
+o AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+    coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS held,
+    sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM w),
+l AS (SELECT arg_min((budget - held) / rest, (cap / w, k)) FILTER ((budget - held) / rest * w <= cap) AS lam FROM o),
+t AS (
+  SELECT source, source_size, least(cap, coalesce(lam, 1e300) * w) AS target,
+    coalesce(floor(least(cap, coalesce(lam, 1e300) * w) / nullif(source_size, 0)), 0) AS times
+  FROM w, l),
+c AS (
+  SELECT doc_id, size, source_size, target, times, target - times * source_size AS left_over,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h) AS until, sum(size) OVER (PARTITION BY d.source, h) AS here
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (times * size + CASE WHEN until <= left_over THEN size WHEN until - here >= left_over THEN 0
+  ELSE floor(size * ((left_over - (until - here)) / here) + 0.5) END)::BIGINT AS taken
+FROM c
+""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+d AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS c,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS front,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(c, 4294967295) % 5 = 0 THEN sha256(front || coalesce(strlen(low) || ':' || low, '-')) END AS changed
+  FROM d),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM leaves),
+tree AS (
+  SELECT 0 AS level, source, idx, n, leaf AS digest FROM ranked
+  UNION ALL
+  SELECT level + 1, source, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY level, source, idx // 16, n),
+subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, idx, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM upper_tree WHERE n > 1 GROUP BY level, idx // 16, n),
+steps AS (
+  SELECT level, source, idx, coalesce(string_agg(digest, '' ORDER BY idx) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY idx) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY level, source, idx // 16 ORDER BY idx)),
+upper_steps AS (
+  SELECT level, idx, coalesce(string_agg(digest, '' ORDER BY idx) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY idx) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM upper_tree WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 16 ORDER BY idx)),
+path AS (
+  SELECT k.doc_id, k.source, k.idx AS leaf_idx, s.level, s.l, s.r FROM ranked k JOIN steps s ON s.source IS NOT DISTINCT FROM k.source AND s.idx = k.idx // (16 ** s.level)::BIGINT
+  UNION ALL
+  SELECT k.doc_id, k.source, k.idx, 1000 + s.level, s.l, s.r FROM ranked k JOIN subroots g ON g.source IS NOT DISTINCT FROM k.source
+    JOIN upper_steps s ON s.idx = g.idx // (16 ** s.level)::BIGINT),
+whole AS (
+  SELECT source, leaf_idx, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256,
+    list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs
+  FROM path GROUP BY source, leaf_idx),
+told AS (
+  SELECT k.doc_id, k.leaf, g.digest AS subroot, u.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), list_transform(range(1, len(coalesce(ls, [])) + 1), lambda i: ls[i] || '|' || rs[i])),
+      lambda acc, s: sha256(split_part(s, '|', 1) || acc || split_part(s, '|', 2))) AS folded_root
+  FROM ranked k JOIN subroots g ON g.source IS NOT DISTINCT FROM k.source JOIN upper_tree u ON u.n = 1
+  LEFT JOIN whole p ON p.source IS NOT DISTINCT FROM k.source AND p.leaf_idx = k.idx)
+SELECT *, folded_root = root AS verified FROM told
 """,
 }
