@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import places, saved
 
 
 def encoded(value: Column) -> Column:
@@ -39,20 +39,6 @@ def proof_digests(proof: Column) -> Column:
     return _joined(F.transform(proof, lambda at: F.concat(at["left"], at["right"])))
 
 
-def _ordered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows (with `grp`) and idx, each row's place from 0 in its group by order, and the group's `width`.
-
-    Rows are dealt by range of (grp, order); a row's place is its place in its partition and the rows of its group ahead
-    of it, so a group may be of any size.
-    """
-    spread = saved(rows.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order).withColumn("m", F.monotonically_increasing_id()))
-    spread = spread.withColumn("part", F.shiftright("m", 33))
-    runs = spread.groupBy("grp", "part").agg(F.min("m").alias("first"), F.count("*").alias("rows"))
-    by_grp = Window.partitionBy("grp")
-    ahead = runs.select("grp", "part", "first", (F.sum("rows").over(by_grp.orderBy("part")) - F.col("rows")).alias("ahead"), F.sum("rows").over(by_grp).alias("width"))
-    return spread.join(ahead, ["grp", "part"]).withColumn("idx", F.col("m") - F.col("first") + F.col("ahead")).drop("m", "part", "first", "ahead")
-
-
 def _levels(nodes: DataFrame, node: Column, arity: int) -> list[DataFrame]:
     """Tables of runs from the leaves up, (grp, idx, width, children, digest); width is the number of nodes of the group
     on the run's own level, 1 at its top. nodes: grp, idx, width and what the column node (a struct with digest) needs."""
@@ -100,11 +86,11 @@ def merkle_manifest(rows: DataFrame, leaf: Column, id_col: str = "doc_id", group
     names = {c: f"kept{k}" for k, c in enumerate(keep)}
     grp = F.when(F.col(group_col).isNull(), "").otherwise(F.concat(F.lit("s"), F.col(group_col).cast("string")))
     slim = saved(rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("given"), grp.alias("grp"), leaf.alias("digest"), *[F.col(c).alias(n) for c, n in names.items()]))
-    leaves = saved(_ordered(slim, ["id", "digest"]))
+    leaves = saved(places(slim, ["id", "digest"]))
     levels = _levels(leaves, F.struct("id", "given", "digest", *names.values()), arity)
     ends = [leaves.where("width = 1").select("grp", "digest")] + [x.where("width = 1").select("grp", "digest") for x in levels]
     subroots = reduce(DataFrame.unionAll, ends).select(F.lit("").alias("grp"), F.col("grp").alias("of"), "digest")
-    groups = saved(_ordered(subroots, ["of"]))
+    groups = saved(places(subroots, ["of"]))
     upper = _levels(groups, F.struct("of", "digest"), arity)
     none = F.array().cast("array<struct<left:string,right:string>>")
     if upper:

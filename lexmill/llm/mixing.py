@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import places, saved
 
 HASH_BITS = 60
 LEVEL_BITS = 10  # of a level's buckets: 1,024 rows of a source at most
@@ -35,13 +35,9 @@ def _key(source: Column) -> Column:
 
 
 def ranks(sources: DataFrame, col: str) -> DataFrame:
-    """col and its `rank` from 0, null last: ranges of values are counted, then numbered, so no task holds all values."""
+    """col and its `rank` from 0, null last."""
     spread = sources.select(F.col(col), _key(F.col(col)).alias("k")).distinct()
-    spread = saved(spread.repartitionByRange("k").sortWithinPartitions("k").withColumn("m", F.monotonically_increasing_id()))
-    part, row = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
-    sizes = spread.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
-    ahead = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("ahead"))  # a row a partition
-    return spread.withColumn("part", part).join(ahead, "part").select(col, (row + F.col("ahead")).alias("rank"))
+    return places(spread.withColumn("grp", F.lit("")), ["k"]).select(col, F.col("idx").alias("rank"))
 
 
 def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
@@ -96,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, most: f
     slim = saved(docs.select(F.col(id_col).alias("id"), source.alias("source"), _key(source).alias("key"), words(F.col(text_col)).alias("size"), row_hash(F.col(id_col)).alias("h")))
     weighed = weights.select(_key(source).alias("key"), F.col("weight").cast("double").alias("weight"))
     sizes = saved(slim.groupBy("key").agg(F.sum("size").alias("source_size")).join(weighed, "key", "left").fillna(0.0, ["weight"]))
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
     plan = targets(sizes, share, most).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = saved(plan)
     plan = saved(plan.join(_thresholds(slim.select("key", "h", "size"), plan), "key", "left"))

@@ -15,6 +15,7 @@ from .merkle import leaf_digest, merkle_manifest, proof_digests
 from .mixing import mix_sources, ranks
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .phrases import collocations
 from .pii import find_pii
 from .quality import quality
 from .toxicity import toxicity
@@ -120,6 +121,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_source_mix": op11_source_mix,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -231,5 +237,28 @@ told AS (
   FROM ranked k JOIN subroots g ON g.source IS NOT DISTINCT FROM k.source JOIN upper_tree u ON u.n = 1
   LEFT JOIN whole p ON p.source IS NOT DISTINCT FROM k.source AND p.leaf_idx = k.idx)
 SELECT *, folded_root = root AS verified FROM told
+""",
+    "op13_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS MATERIALIZED (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) r(k) WHERE len(ws) >= k),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+x AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS front, array_to_string(ws[cut + 1:], ' ') AS back
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1)),
+c AS (
+  SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, ((2000000::HUGEINT * x.a) // (l.a + r.a))::BIGINT AS score, cut
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = front JOIN f r ON r.lang = x.lang AND r.phrase = back),
+b AS (SELECT lang, phrase, any_value(a) AS a, arg_min(struct_pack(l := l, r := r, score := score), (score, cut)) AS z FROM c GROUP BY lang, phrase),
+parts AS (SELECT lang, a, k AS longer_k, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))))) AS phrase FROM f WHERE k > 2),
+cover AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY lang, phrase),
+o AS (
+  SELECT b.lang, b.phrase, b.a, z.l AS l, z.r AS r, n.n, z.score AS score, row_number() OVER (PARTITION BY b.lang ORDER BY z.score DESC, b.a DESC, b.phrase) AS rank
+  FROM b JOIN n ON n.lang = b.lang LEFT JOIN cover v ON v.lang = b.lang AND v.phrase = b.phrase
+  WHERE v.longer IS NULL OR 100 * v.longer < 80 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
 """,
 }

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 2 << 20  # of an Arrow batch: whole texts can be long, and a batch is in memory twice
@@ -58,6 +59,21 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (with `grp`) and idx, each row's place from 0 in its group by order, and `width`, the rows of the group.
+
+    Rows are dealt by range of (grp, order); a row's place is its place in its partition and the rows of its group ahead
+    of it, so a group may be of any size. rows must not have columns part, first and ahead.
+    """
+    spread = saved(rows.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order).withColumn("part", F.monotonically_increasing_id()))
+    at, part = F.col("part"), F.shiftright("part", 33)
+    runs = spread.groupBy("grp", part.alias("part")).agg(F.min(at).alias("first"), F.count("*").alias("ahead"))
+    by_grp = Window.partitionBy("grp")
+    runs = runs.select("grp", "part", "first", (F.sum("ahead").over(by_grp.orderBy("part")) - F.col("ahead")).alias("ahead"), F.sum("ahead").over(by_grp).alias("width"))
+    told = spread.withColumn("idx", at).withColumn("part", part).join(runs, ["grp", "part"])
+    return told.withColumn("idx", F.col("idx") - F.col("first") + F.col("ahead")).drop("part", "first", "ahead")
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the bytes and rows of an Arrow batch in this session; smaller bounds that it has stay."""
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):

@@ -39,7 +39,7 @@ def plain(rows, weights, share=1.5, most=2.0):
                 groups[place(i)].append((i, n))
         for h in sorted(groups):
             here = sum(n for _, n in groups[h])
-            part = 1.0 if before + here <= left else max(0.0, (left - before) / here)
+            part = 1.0 if before + here <= left else max(0.0, (left - before) / here) if here else 0.0
             out += [(i, n, int(times * n + (n if part == 1.0 else int(n * part + 0.5)))) for i, n in groups[h]]
             before += here
     return out, {s: (total[s], target[s]) for s in total}
