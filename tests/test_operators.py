@@ -139,15 +139,6 @@ def test_sources_round_trip(spark, tmp_path):
     assert sorted(str(r.rejected) for r in tables.uploads(spark, f"{tmp_path}/up").collect()) == ["None", "not_pdf"]  # the reader passes over b.pdf, which is empty
 
 
-def test_duplicate_pairs_cut_no_block(spark):
-    cols = "id long, doi string, arxiv string, title string, authors array<string>"
-    same = [(i, "10.1/hot", None, None, ["x"]) for i in range(201)]
-    short = [(900, None, None, "a bus", ["y"]), (901, None, None, "a bus", ["y"]), (902, None, None, "", ["y"]), (903, None, None, "", ["y"])]
-    got = records.duplicate_pairs(spark.createDataFrame(same + short, cols)).select("a_id", "b_id", "relation_type").collect()
-    assert sum(r.relation_type == "exact_duplicate" for r in got) == 201 * 200 // 2
-    assert [(r.a_id, r.b_id) for r in got if r.a_id >= 900] == [(900, 901)]
-
-
 def test_section_paths_deep_orphan_and_circle(spark):
     rows = [("p", f"s{i}", f"s{i - 1}" if i else None, str(i)) for i in range(60)]
     rows += [("p", "o", "gone", "O"), ("p", "under", "o", "U"), ("p", "x", "y", "X"), ("p", "y", "x", "Y"), ("q", "s1", None, "Q")]
