@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming.
 
-Token positions that end a document (free) or a sentence (penalty `inside`) are the allowed cuts; a sentence longer than a
-window is cut every `size` tokens too (penalty `broken`).
+Token positions that end a document (free) or a sentence (penalty `inside`) are the allowed cuts; a sentence longer than
+1/32 of a window can be cut at each such part too (penalty `broken`), so text without sentence ends fills windows as well.
 f(j) = min over i with S(j) - S(i) <= size of f(i) + (size - S(j) + S(i)) + penalty(j); as S(i) + f(i) is all that
 depends on i, a monotone queue over the sliding window finds each minimum in constant amortised time.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,6 +23,8 @@ from .shared import byte_view, chunks, small_batches, tidy
 
 END_OF_TEXT = 1
 CHUNK = 4 << 20  # bytes of text tokenised together
+GRID = 32  # parts of a window: sentences longer than one can be cut between them
+ENDING = r"[.!?。！？।؟…][\"'”’»)\]]*$|\n"  # of a word that ends a sentence
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
@@ -35,19 +36,18 @@ def plan_cuts(ends: np.ndarray, penalty: np.ndarray, size: int, open_end: bool =
     pos = [0, *ends.tolist()]
     pen = [0.0, *penalty.tolist()]
     n = len(pos)
-    best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque([0])
+    key, back = [0.0] * n, [0] * n  # key: S(i) + f(i)
+    queue, head = [0], 0
     for j in range(1, n):
         low = pos[j] - size
-        while pos[queue[0]] < low:
-            queue.popleft()
-        i = queue[0]
+        while pos[queue[head]] < low:
+            head += 1
+        i = queue[head]
         if open_end and j == n - 1:
-            i = min((k for k in range(j) if pos[k] >= low), key=best.__getitem__)
-        best[j] = best[i] + size - (pos[j] - pos[i]) + pen[j]
+            i = min((k for k in range(j) if pos[k] >= low), key=lambda k: key[k] - pos[k])
         back[j] = i
-        key = best[j] + pos[j]
-        while queue and best[queue[-1]] + pos[queue[-1]] >= key:
+        key[j] = k = key[i] + size + pen[j]
+        while len(queue) > head and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
     out, j = [], n - 1
@@ -120,7 +120,7 @@ def tokenize(column: pa.Array, words: _Words, most: int = CHUNK) -> Iterator[tup
         split = pc.split_pattern(part, " ")
         coded = split.flatten().dictionary_encode()
         ids, begin, size = words.encode(coded.dictionary)
-        closing = pc.match_substring_regex(coded.dictionary, r"[.!?]$|\n").to_numpy(zero_copy_only=False)
+        closing = pc.match_substring_regex(coded.dictionary, ENDING).to_numpy(zero_copy_only=False)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offs = split.offsets.to_numpy().astype(np.int64)
         offs = offs - offs[0]
@@ -158,6 +158,8 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
                 left.append([doc, ids[done:], start + done, n])
         return rows, left, serial + len(cuts)
 
+    step = max(1, size // GRID)
+
     def cut(docs: list, stops: list, last: bool) -> tuple[np.ndarray, int]:
         """Cut positions of the block; all but the last window are final, unless the block is the last."""
         length = np.array([len(d[1]) for d in docs])
@@ -168,8 +170,8 @@ def _packer(path: str, size: int, inside: float, broken: float, block: int, keep
         pos = np.union1d(inner, end)
         gaps = np.diff(pos, prepend=0)
         pen = np.where(np.isin(pos, end), 0.0, inside)
-        if (wide := gaps > size).any():
-            extra = np.concatenate([np.arange(p - g + size, p, size) for p, g in zip(pos[wide], gaps[wide], strict=True)])
+        if (wide := gaps > step).any():  # no boundary near: a cut every `step` tokens
+            extra = np.concatenate([np.arange(p - g + step, p, step) for p, g in zip(pos[wide], gaps[wide], strict=True)])
             pos, pen = np.concatenate([pos, extra]), np.concatenate([pen, np.full(len(extra), broken)])
             order = np.argsort(pos)
             pos, pen = pos[order], pen[order]

@@ -51,6 +51,14 @@ def test_edge_rows(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
 
+@pytest.mark.parametrize("text", ["word " * 1100, "word " * 2100, "这是一个句子。我们测试它。" * 90, "यह एक वाक्य है। हम आए।" * 60, 'He said "go." Then he left (now.) ' * 200, "long sentence of many words " * 700])
+def test_little_padding_without_ends_in_ascii(spark, text):
+    rows = spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string").coalesce(1)
+    got = pack(rows, PATH, keep_ids=False).groupBy("sequence_id").sum("length").collect()
+    last = max(got, key=lambda r: r[0])
+    assert sum(2048 - r[1] for r in got) - (2048 - last[1]) <= 0.03 * 2048 * len(got)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_cuts_are_cheapest(seed):
     rng = np.random.default_rng(seed)
