@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 
+#: Token limits of a chunk, and what counts as a token.
 TARGET, SOFT, HARD = 400, 650, 900
 _WORD = re.compile(r"[A-Za-z0-9]+(?:['\-][A-Za-z0-9]+)*")
 _CJK = re.compile("[一-鿿぀-ヿ]")
@@ -89,69 +89,6 @@ def split_overlong(text: str, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def _chunk(key: list[str], order: str, text: str, target: int, soft: int, hard: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows, buffer, held = [], [], 0
-
-        def flush() -> None:
-            nonlocal buffer, held
-            if buffer:
-                rows.append(("\n".join(b[1] for b in buffer), held, buffer[0][0], buffer[-1][0]))
-                buffer, held = [], 0
-
-        for o, s in zip(pdf[order], pdf[text].fillna(""), strict=True):
-            n = count_tokens(s)
-            if n > hard:
-                flush()
-                rows += [(s[a:b], count_tokens(s[a:b]), o, o) for a, b in split_overlong(s, hard)]
-                continue
-            if buffer and (held + n > hard or (held + n > soft and held >= target)):
-                flush()
-            buffer.append((o, s))
-            held += n
-        flush()
-        out = pd.DataFrame(rows, columns=["body_text", "token_count", "first_order", "last_order"])
-        for k in key:
-            out.insert(0, k, pdf[k].iloc[0])
-        out["chunk_no"] = range(1, len(out) + 1)
-        return out
-
-    return run
-
-
-def pack_chunks(blocks: DataFrame, key: list[str], order: str = "order", text: str = "text", target: int = TARGET, soft: int = SOFT, hard: int = HARD) -> DataFrame:
-    """Chunks of the blocks of each key (document and section) in order: filled to the target, closed at the soft limit
-    once the target is met, never over the hard limit; an overlong block is cut by sentences. Nothing overlaps.
-
-    A group is one section of one document, so its size is bounded by a document's.
-    """
-    kinds = dict(blocks.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in reversed(key)) + f", body_text string, token_count long, first_order {kinds[order]}, last_order {kinds[order]}, chunk_no long"
-    return blocks.select(*key, order, text).groupBy(*key).applyInPandas(_chunk(key, order, text, target, soft, hard), schema)
-
-
-def table_parts(rows: DataFrame, key: list[str], order: str, tokens: str, budget: int) -> DataFrame:
-    """Row groups of overlong tables: half-open ranges of rows whose running tokens stay in the budget."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, start, held = [], 0, 0
-        for i, n in enumerate(pdf[tokens]):
-            if held and held + n > budget:
-                out.append((start, i, held))
-                start, held = i, 0
-            held += n
-        out.append((start, len(pdf), held))
-        made = pd.DataFrame(out, columns=["row_start", "row_end", "tokens"])
-        for k in key:
-            made.insert(0, k, pdf[k].iloc[0])
-        return made
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*key).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in reversed(key)) + ", row_start long, row_end long, tokens long")
-
-
 def duplicate_ratio(blocks: DataFrame, by: list[str], text: Column) -> DataFrame:
     """Share of rows whose cleaned, lowered text occurs more than once in the group, over all rows; empty texts never do."""
     norm = F.lower(T.clean_text(F.coalesce(text, F.lit(""))))

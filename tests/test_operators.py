@@ -118,14 +118,6 @@ def test_layout(spark):
     assert one(spark, L.block_markdown(F.lit("heading"), F.col("x"), F.lit(2)), x="T") == "## T"
 
 
-def test_chunks_keep_every_line(spark):
-    rows = spark.createDataFrame([("d", k, " ".join(["word"] * n) + ".") for k, n in enumerate([300, 200, 200, 2000, 5])], "doc string, order int, text string")
-    got = documents.pack_chunks(rows, ["doc"]).orderBy("chunk_no").collect()
-    text = "".join(r.body_text for r in got).replace("\n", "")
-    assert text == "".join(r.text for r in rows.orderBy("order").collect())
-    assert all(r.token_count <= 900 for r in got)
-
-
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("p1", "r1", 1), ("p1", "r2", 2), ("p2", "r1", 3)], "paper_id string, run_id string, x int")
     tables.write_run(df, f"{tmp_path}/runs")
