@@ -1,6 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory with a licence file.
 
-Lines that name a licence, their sentences, and the whole text of licence files are compared with templates. Document
+Lines that name a licence, the runs of short lines around them (headers are wrapped, and marked as comments), the sentences
+of both, and the whole text of licence files are compared with templates. A template stands for a licence only where the
+words and numbers that part it from its kin (Lesser, Affero, a version) are there, and no others of that kind. Document
 frequencies of the templates' words are counted over all files; a word of no template weighs like the rarest and only adds
 to a unit's length. A file without a licence of its own takes that of the nearest ancestor directory that holds a licence
 file, by a join of directories' ancestors with those directories.
@@ -45,7 +47,13 @@ TEMPLATES = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("CC-BY-4.0", "Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz."),
+    ("CC-BY-4.0", "Ce texte est mis à disposition sous licence Creative Commons Attribution 4.0 International."),
+    ("CC-BY-4.0", "Esta obra está bajo una licencia Creative Commons Atribución 4.0 Internacional."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
@@ -54,8 +62,14 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 ]
-_ANCHOR = re.compile(r"licen[cs]e|permission is hereby|permission to use|permission to use|redistribution and use|public domain", re.I)
-_ANCHOR_RE2 = "(?i)licen[cs]e|permission is hereby|permission to use|redistribution and use|public domain"
+_ANCHOR_RE2 = "(?i)licen[cs][ei]|lizen[sz]|permission is hereby|permission to use|redistribution and use|public domain"
+_ANCHOR = re.compile(_ANCHOR_RE2)
+# Words that tell licences of one family apart; version numbers do too.
+_TELLING = {"lesser", "lgpl", "affero", "agpl", "noncommercial", "sharealike", "noderivatives"}
+_CODES = {"nc", "sa", "nd"}  # telling next to BY alone
+_VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)*$")
+_MARKS = re.compile(r"^[\s/*#;%!|\"'.<>-]+|[\s*/>-]+$")  # of a comment, around its text
+WRAPPED, AROUND = 120, 8  # characters of a line that may be part of a wrapped header, and lines of it on each side
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
@@ -65,6 +79,12 @@ def terms(s: str) -> list[str]:
     return _WORD.findall(s.lower())
 
 
+def telling(words: set[str]) -> set[str]:
+    """What tells a licence from its kin, versions without a zero at the end: 3.0 is 3."""
+    versions = {re.sub(r"(\.0)+$", "", w) for w in words if _VERSION.match(w) and len(w) < 6 and not re.match(r"(19|20)[0-9]{2}$", w)}
+    return (words & (_TELLING | _CODES if "by" in words else _TELLING)) | versions
+
+
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in terms(t)})
 
 
@@ -74,7 +94,7 @@ class Templates:
     def __init__(self, files: int, df: dict[str, int]) -> None:
         self.idf = {w: log((files + 1) / (df.get(w, 0) + 1)) + 1 for w in VOCABULARY}
         self.other = log(files + 1) + 1
-        self.rows, self.index = [], defaultdict(list)
+        self.rows, self.index, self.telling = [], defaultdict(list), [telling(set(terms(t))) for _, t in TEMPLATES]
         for k, (name, text) in enumerate(TEMPLATES):
             v = {w: n * self.idf[w] for w, n in Counter(terms(text)).items()}
             self.rows.append((name, sqrt(sum(x * x for x in v.values()))))
@@ -82,13 +102,18 @@ class Templates:
                 self.index[w].append((k, x))
 
     def best(self, text: str) -> tuple[str | None, float]:
-        """The licence with the largest cosine, ties to the first by name; (None, 0) without a common word."""
+        """The licence with the largest cosine of those that the text does not rule out, ties to the first by name; (None,
+        0) without a common word. A template is ruled out by a telling word or version that the text lacks, and by such a
+        word (not a version: addresses and dates hold numbers too) that the template lacks."""
         counts = Counter(terms(text))
+        told = telling(set(counts))
+        words = told & (_TELLING | _CODES)
         norm = sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items()))
         dot: dict[int, float] = defaultdict(float)
         for w, n in counts.items():
             for k, x in self.index.get(w, ()):
-                dot[k] += n * self.idf[w] * x
+                if self.telling[k] <= told and words <= self.telling[k]:
+                    dot[k] += n * self.idf[w] * x
         if not dot:
             return None, 0.0
         cosine = {k: d / norm / self.rows[k][1] for k, d in dot.items()}
@@ -102,16 +127,34 @@ def own_license(text: str, is_file: bool, templates: Templates, threshold: float
     if is_file:
         name, score = templates.best(text)
         found = (name, score, 0) if score >= threshold else found
-    for at, line in enumerate(text.split("\n"), 1):
+    lines = text.split("\n")
+    for at, line in enumerate(lines, 1):
         if _ANCHOR.search(line):
-            parts = [p for p in _SENTENCE.split(line) if _ANCHOR.search(p)]
-            for unit in dict.fromkeys([line, *parts]):
+            wrapped = _wrapped(lines, at - 1)
+            parts = [p for u in (line, wrapped) for p in _SENTENCE.split(u) if _ANCHOR.search(p)]
+            for unit in dict.fromkeys([line, wrapped, *parts]):
                 name, score = templates.best(unit)
                 if score >= threshold and score > found[1]:
                     found = (name, score, at)
     return found
 
 
+def _wrapped(lines: list[str], at: int) -> str:
+    """The run of short lines around one, without the marks of comments; a line without text parts runs."""
+    if len(lines[at]) > WRAPPED:
+        return lines[at]
+
+    def run(places: range) -> Iterator[str]:
+        for k in places:
+            text = _MARKS.sub("", lines[k]) if len(lines[k]) <= WRAPPED else ""
+            if not text:
+                return
+            yield text
+
+    before = list(run(range(at - 1, max(-1, at - 1 - AROUND), -1)))[::-1]
+    return " ".join([*before, _MARKS.sub("", lines[at]), *run(range(at + 1, min(len(lines), at + 1 + AROUND)))])
+
+
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 

@@ -43,14 +43,16 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files. A document that speaks of a licence is a licence file of its shelf, 200 ids of a source and
-    language; the others are files of a section, 20 ids of a shelf, and inherit from the shelf."""
+    """documents as files: a shelf holds 400 ids of a source and language, and four sections. A document that speaks of a
+    licence is a licence file, of its section where its id is odd, else of the shelf; the others inherit from the section,
+    and where that has none from the shelf."""
     docs = _table(spark, sf_dir, "documents")
-    shelf = F.concat_ws("/", "source", "lang", F.concat(F.lit("shelf"), F.floor(F.col("doc_id") / 200).cast("string")))
-    section = F.concat(F.lit("section"), F.floor(F.col("doc_id") / 20).cast("string"))
+    shelf = F.concat_ws("/", "source", "lang", F.concat(F.lit("shelf"), F.floor(F.col("doc_id") / 400).cast("string")))
+    section = F.concat_ws("/", shelf, F.concat(F.lit("section"), F.floor(F.col("doc_id") / 100).cast("string")))
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     states = F.coalesce(F.col("text").rlike("[Ll]icen[cs]e"), F.lit(False))
-    return license_scan(docs, F.when(states, F.concat(shelf, F.lit("/LICENSE-"), name)).otherwise(F.concat_ws("/", shelf, section, name)))
+    home = F.when(states & (F.col("doc_id") % 2 == 0), shelf).otherwise(section)
+    return license_scan(docs, F.concat(home, F.when(states, F.lit("/LICENSE-")).otherwise(F.lit("/")), name))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
