@@ -1,3 +1,3 @@
 """Queries over the driver's tables; importing this registers them."""
 
-from lexmill.plans import acceptance, building, documents, events, evidence, quality, records, retrieval, workflow  # noqa: F401
+from lexmill.plans import acceptance, building, citations, documents, events, evidence, quality, records, retrieval, workflow  # noqa: F401
