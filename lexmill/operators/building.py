@@ -17,7 +17,6 @@ STRUCTURED = ["table", "figure", "equation"]
 PAGE_CHARS, FAILED_PAGES, POOR_PAGES, REPLACED, REPEATED, LONG_PAPER = 10, 0.05, 0.80, 0.01, 0.15, 4
 CONFIDENCE = {"identifier": 0.95, "file name": 0.9, "title": 0.8, "author": 0.6, "year": 0.5, "abstract": 0.4}
 TITLE_LINES, AUTHOR_LINES = 4, 40
-ABSTRACT_BODY = r"(?is)(?:^|\n)\s*abstract[\s.:]*\n(.+?)(?:\n\s*(?:introduction|1[.\s]|I\.|\n\n))"
 ARXIV_PATTERN = r"(?i)arxiv:\s*([0-9]{4}\.[0-9]{4,5}(?:v[0-9]+)?)"
 
 
@@ -181,9 +180,16 @@ def author_quality(c: Column) -> Column:
 
 
 def author_like(c: Column) -> Column:
-    """Whether a line looks like names: commas, `and`, marks after letters, or two capitalised words (and a mark)."""
-    t, name = T.strip(c), r"[A-Z][A-Za-z'.\-]+"
-    return F.coalesce(t.rlike(r"[,;]|(?i:\sand\s)|[A-Za-z][0-9]") | t.rlike(rf"^{name}\s+{name}([0-9]+)?(\([A-Za-z]\))?$") | t.rlike(rf"^{name}\s+{name}\s+[a-z]([,*†‡#0-9]+[a-z]?)*$"), F.lit(False))
+    """Whether a line looks like names: a list by commas, semicolons or `and`, a word with a raised number, or a first and
+    a last name alone, each with a capital, followed by marks (numbers, stars, a letter) or nothing."""
+    words = F.filter(F.split(T.strip(c), r"\s+"), lambda w: w != "")
+    bare = F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"(\(\w\)|[\d*†‡#])+$", "")), lambda w: w != "")
+    capital = lambda w: (F.length(w) > 1) & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))) & (F.translate(w, "'.-0123456789", "'.-") == w)
+    listed = c.contains(",") | c.contains(";") | (F.array_position(F.transform(words, F.lower), "and") > 1) & (F.lower(F.get(words, F.size(words) - 1)) != "and")
+    raised = F.exists(words, lambda w: (F.length(w) > 1) & F.substring(w, -1, 1).between("0", "9") & ~F.substring(w, 1, 1).between("0", "9"))
+    marked = (F.size(bare) == 2) | ((F.size(bare) == 3) & (F.length(F.get(bare, F.size(bare) - 1)) == 1) & (F.get(bare, F.size(bare) - 1) == F.lower(F.get(bare, F.size(bare) - 1))))
+    pair = marked & F.forall(F.slice(bare, 1, 2), capital)
+    return F.when(F.size(words) > 0, F.coalesce(listed | raised | pair, F.lit(False))).otherwise(F.lit(False))
 
 
 def first_page(lines: DataFrame) -> DataFrame:
@@ -216,9 +222,20 @@ def first_page(lines: DataFrame) -> DataFrame:
 
 
 def abstract(c: Column) -> Column:
-    """What follows a line `Abstract` up to the introduction or an empty line, single-spaced; null if 30 characters or less."""
-    body = T.collapse(F.regexp_extract(c, ABSTRACT_BODY, 1))
-    return F.when(F.length(body) > 30, body)
+    """The lines under a line `Abstract` (blank ones ahead passed over) up to a blank line, an introduction or the first
+    numbered heading, single-spaced; null where none of these follows, or with 30 characters or less."""
+    lines = F.split(c, "\n")
+    below = lambda at, of: F.slice(of, at + 1, F.size(of))
+    head = F.array_position(F.transform(lines, lambda s: F.lower(F.regexp_replace(s, r"[\s.:]+", "")) == "abstract"), True).cast("int")
+    rest = below(head, lines)
+    blank = F.transform(rest, lambda s: T.strip(s) == "")
+    body = below(F.greatest(F.array_position(blank, False).cast("int") - 1, F.lit(0)), rest)
+    word = lambda s: F.lower(F.get(F.split(T.strip(s), r"[\s.]"), F.lit(0)))
+    ends = F.transform(body, lambda s: (T.strip(s) == "") | F.lower(T.strip(s)).startswith("introduction") | ((word(s) == "1") & (T.strip(s) != "1")) | T.strip(s).startswith("I."))
+    stop = F.array_position(ends, True).cast("int")
+    text = T.collapse(F.array_join(F.slice(body, 1, F.greatest(stop - 1, F.lit(0))), " "))
+    found = (head > 0) & F.coalesce(F.array_contains(blank, False), F.lit(False))
+    return F.when(found & (stop > 1) & (F.length(text) > 30), text)
 
 
 def metadata_candidates(files: DataFrame) -> DataFrame:

