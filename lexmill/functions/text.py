@@ -107,8 +107,9 @@ def bm25_tokens(c: Column) -> Column:
 
 
 def word_set(c: Column) -> Column:
-    """Distinct letter-and-digit words, case folded by lower()."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    """Distinct letter-and-digit words under NFKC and case folding; plain ASCII text stays in the JVM."""
+    folded = F.when(_ascii(c), F.lower(c)).otherwise(nfkc_casefold(F.when(~_ascii(c), c)))
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def entity_key(c: Column) -> Column:

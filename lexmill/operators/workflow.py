@@ -109,8 +109,9 @@ def promotion_issues(candidates: DataFrame) -> DataFrame:
 
 
 def canonical_hash(payload: Column) -> Column:
-    """SHA-256 of a struct's compact JSON; its fields must stand in the order of their names."""
-    return F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of a struct's compact JSON with the fields of it and of what it holds in the order of their names; nulls are
+    kept. Maps must have text keys."""
+    return F.sha2(F.to_json(F.to_variant_object(payload)), 256)
 
 
 def build_fingerprints(members: DataFrame, runs: DataFrame) -> DataFrame:
@@ -260,12 +261,16 @@ def crossref_fields(raw: Column) -> Column:
     people = F.from_json(get("$.message.author"), "array<struct<given:string,family:string>>")
     names = F.filter(F.transform(people, lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))), lambda n: n != "")
     year = F.coalesce(*[get(f"$.message['{k}']['date-parts'][0][0]").try_cast("int") for k in ("published-print", "published-online", "issued", "created")])
-    return F.struct(get("$.message.title[0]").alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), year.alias("year"), get("$.message['container-title'][0]").alias("venue"), get("$.message.publisher").alias("publisher"), get("$.message.DOI").alias("doi"))
+    return F.struct(get("$.message.title[0]").alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), year.alias("year"), get("$.message['container-title'][0]").alias("venue"), get("$.message.publisher").alias("publisher"), get("$.message.DOI").alias("doi"), _plain(get("$.message.abstract")).alias("abstract"))
 
 
-def _work(title: Column, names: Column, year: Column, venue: Column, doi: Column) -> Column:
+def _plain(markup: Column) -> Column:
+    return F.nullif(T.strip_tags(markup), F.lit(""))
+
+
+def _work(title: Column, names: Column, year: Column, venue: Column, doi: Column, abstract: Column) -> Column:
     people = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n != "")
-    return F.struct(title.alias("title"), people.alias("authors"), year.try_cast("int").alias("year"), venue.alias("venue"), F.lit(None).cast("string").alias("publisher"), doi.alias("doi"))
+    return F.struct(title.alias("title"), people.alias("authors"), year.try_cast("int").alias("year"), venue.alias("venue"), F.lit(None).cast("string").alias("publisher"), doi.alias("doi"), abstract.alias("abstract"))
 
 
 def openalex_fields(raw: Column) -> Column:
@@ -275,11 +280,11 @@ def openalex_fields(raw: Column) -> Column:
     people = F.from_json(get("$.authorships"), "array<struct<author:struct<display_name:string>>>")
     places = F.transform(F.from_json(get("$.locations"), "array<struct<source:struct<display_name:string>>>"), lambda p: p["source"]["display_name"])
     venue = F.coalesce(get("$.primary_location.source.display_name"), get("$.best_oa_location.source.display_name"), F.get(F.filter(places, lambda v: v != ""), F.lit(0)))
-    return _work(F.coalesce(get("$.title"), get("$.display_name")), F.transform(people, lambda a: a["author"]["display_name"]), get("$.publication_year"), venue, get("$.doi"))
+    return _work(F.coalesce(get("$.title"), get("$.display_name")), F.transform(people, lambda a: a["author"]["display_name"]), get("$.publication_year"), venue, get("$.doi"), T.rebuild_abstract(F.from_json(F.get_json_object(raw, "$.abstract_inverted_index"), "map<string,array<int>>")))
 
 
 def semantic_scholar_fields(raw: Column) -> Column:
     """The fields of crossref_fields from a paper of the third provider; a DOI may stand among its outer ids."""
     get = lambda p: F.nullif(F.get_json_object(raw, p), F.lit(""))
     people = F.from_json(get("$.authors"), "array<struct<name:string>>")
-    return _work(get("$.title"), F.transform(people, lambda a: a["name"]), get("$.year"), F.coalesce(get("$.venue"), get("$.journal")), F.coalesce(get("$.doi"), get("$.externalIds.DOI")))
+    return _work(get("$.title"), F.transform(people, lambda a: a["name"]), get("$.year"), F.coalesce(get("$.venue"), get("$.journal")), F.coalesce(get("$.doi"), get("$.externalIds.DOI")), _plain(get("$.abstract")))

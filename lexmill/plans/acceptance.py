@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import acceptance as A
 from lexmill.operators import metrics
+from lexmill.plans.cases import spread, spread_sql
 from lexmill.registry import query
 from lexmill.sources.tables import table
 
@@ -36,50 +37,56 @@ def variant_metrics(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("query_id.variant").agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
-_SUMMARY = [
-    ("overall", None, "bm25", "ok", 0.6, 0.5), ("overall", None, "dense", "ok", 0.7, 0.4), ("overall", None, "hybrid", "ok", 0.8, 0.5), ("overall", None, "hybrid_rerank", "ok", 0.74, 0.45),
-    ("type", "exact_term", "bm25", "ok", 0.5, None), ("type", "exact_term", "dense", "ok", 0.6, 0.1), ("language", "zh", "bm25", "failed", None, None),
-]
+_VARIANTS = ["bm25", "dense", "hybrid", "hybrid_rerank"]
 
 
-@query("acceptance_rules", """SELECT * FROM (VALUES (1, 'hybrid_recall >= best single', true), (2, 'hybrid_rerank mrr >= best single', false), (3, 'rerank does not hurt recall', false), (4, 'exact_term keeps bm25 advantage', false), (5, 'zh (cross-language) results exist', false)) t(rule, name, passed)""")
+@query("acceptance_rules", """WITH a AS (SELECT avg(r) FILTER (n = 1) AS r1, avg(r) FILTER (n = 2) AS r2, avg(r) FILTER (n = 3) AS r3, avg(r) FILTER (n = 4) AS r4, avg(m) FILTER (n = 1) AS m1, avg(m) FILTER (n = 2) AS m2, avg(m) FILTER (n = 4) AS m4,
+  avg(r) FILTER (n = 1 AND f = 'R') AS er1, avg(r) FILTER (n = 2 AND f = 'R') AS er2, avg(m) FILTER (n = 1 AND f = 'R') AS em1, avg(m) FILTER (n = 2 AND f = 'R') AS em2, count(*) FILTER (f = 'N') AS zh
+  FROM (SELECT l_linenumber AS n, l_quantity / 50 AS r, l_discount * 10 AS m, l_returnflag AS f FROM lineitem WHERE l_linenumber <= 4))
+SELECT unnest([1, 2, 3, 4, 5]) AS rule, unnest(['hybrid_recall >= best single', 'hybrid_rerank mrr >= best single', 'rerank does not hurt recall', 'exact_term keeps bm25 advantage', 'zh (cross-language) results exist']) AS name,
+  unnest([greatest(r3, r4) >= greatest(r1, r2), m4 >= greatest(m1, m2), r4 >= r3 - 0.05, er1 >= er2 OR em1 >= em2, zh > 0]) AS passed FROM a""")
 def acceptance_rules(spark: SparkSession, d: str) -> DataFrame:
-    """The five rules over a stated summary, worked out by hand."""
-    return A.acceptance_rules(spark.createDataFrame(_SUMMARY, "grain string, key string, variant string, status string, recall double, mrr double"))
+    """The five rules over means of lines by line number, as variants; returned lines as exact terms, flag N as Chinese."""
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 4")
+    measured = lambda df, grain, key: df.groupBy(F.get(F.array(*map(F.lit, _VARIANTS)), F.col("l_linenumber") - 1).alias("variant")).agg(F.avg(F.col("l_quantity") / 50).alias("recall"), F.avg(F.col("l_discount") * 10).alias("mrr")).select(F.lit(grain).alias("grain"), F.lit(key).cast("string").alias("key"), "variant", F.lit("ok").alias("status"), "recall", "mrr")
+    parts = [measured(lines, "overall", None), measured(lines.where("l_returnflag = 'R'"), "type", "exact_term"), measured(lines.where("l_returnflag = 'N'"), "language", "zh")]
+    return A.acceptance_rules(parts[0].unionAll(parts[1]).unionAll(parts[2]))
 
 
 _GOLD = [
-    (0, "a", "T", "x/a.pdf", "s", "1", True, "evaluated", [("f", "explicit", "correct", "required", "[1]"), ("f", None, "odd", "required", None), (None, "explicit", "correct", "maybe", None)]),
-    (1, "a", "", "../a.pdf", "none", "1", None, "template", [("f", None, "correct", "optional", None), ("g", None, "not_evaluated", "optional", None)]),
-    (2, "b", "T", "C:\\a.pdf", "s", "1", True, "draft", []),
+    (0, "a#", "T", "x/a#.pdf", "s", "1", True, "evaluated", [("f", "explicit", "correct", "required", "[1]"), ("f", None, "odd", "required", None), (None, "explicit", "correct", "maybe", None)]),
+    (1, "a#", "", "../a.pdf", "none", "1", None, "template", [("f", None, "correct", "optional", None), ("g", None, "not_evaluated", "optional", None)]),
+    (2, "b#", "T", "C:\\a#.pdf", "s", "1", True, "draft", []),
 ]
 
 
-@query("gold_issues", """SELECT * FROM (VALUES (0, 1, 'field_id_duplicate'), (0, 1, 'field_expected_status_null'), (0, 1, 'field_invalid_value_judgement'), (0, 2, 'field_missing_required_key'), (0, 2, 'field_invalid_evidence_expectation'),
-(1, NULL, 'paper_missing_required_key'), (1, NULL, 'paper_id_duplicate'), (1, NULL, 'pdf_path_invalid'), (1, NULL, 'gold_schema_not_found'), (1, 0, 'template_field_invalid'), (2, NULL, 'paper_missing_required_key'), (2, NULL, 'pdf_path_invalid')) t(paper_no, field_no, issue)""")
+@query("gold_issues", spread_sql("""(0, 1, 'field_id_duplicate'), (0, 1, 'field_expected_status_null'), (0, 1, 'field_invalid_value_judgement'), (0, 2, 'field_missing_required_key'), (0, 2, 'field_invalid_evidence_expectation'),
+(1, NULL, 'paper_missing_required_key'), (1, NULL, 'paper_id_duplicate'), (1, NULL, 'pdf_path_invalid'), (1, NULL, 'gold_schema_not_found'), (1, 0, 'template_field_invalid'), (2, NULL, 'paper_missing_required_key'), (2, NULL, 'pdf_path_invalid')""", "paper_no, field_no, issue", "", "paper_no"))
 def gold_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of stated gold papers, worked out by hand."""
+    """Issues of gold papers, a set for each supplier, worked out by hand."""
     field = "array<struct<field_id:string,expected_status:string,value_judgement:string,evidence_expectation:string,acceptable:string>>"
-    papers = spark.createDataFrame(_GOLD, f"paper_no int, paper_id string, title string, pdf_path string, schema_id string, schema_version string, selected boolean, gold_status string, fields {field}")
+    papers = spread(spark, d, _GOLD, f"paper_no int, paper_id string, title string, pdf_path string, schema_id string, schema_version string, selected boolean, gold_status string, fields {field}", "paper_no")
     return A.gold_issues(papers, ["s"])
 
 
-_UNITS = [(1, '{"status":"passed","page_count":3,"runtime_s":1.5,"duplicate_ratio":0.1}'), (2, '{"status":"odd","page_count":-1,"runtime_s":"x","duplicate_ratio":1.5}'), (3, '{"status":null,"page_count":2.5,"runtime_s":null}'), (4, "[]")]
+_UNITS = [(1, '{"status":"passed","page_count":3#,"runtime_s":1.5#,"duplicate_ratio":0.1}'), (2, '{"status":"odd","page_count":-1,"runtime_s":"x","duplicate_ratio":1.5}'), (3, '{"status":null,"page_count":2.5,"runtime_s":null}'), (4, "[]")]
 
 
-@query("unit_records", """SELECT * FROM (VALUES (1::BIGINT, ''), (2, 'illegal status;bad page_count;bad runtime_s;bad duplicate_ratio'), (3, 'bad page_count'), (4, 'missing status;missing page_count')) t(unit_id, issues)""")
+@query("unit_records", spread_sql("(1::BIGINT, ''), (2, 'illegal status;bad page_count;bad runtime_s;bad duplicate_ratio'), (3, 'bad page_count'), (4, 'missing status;missing page_count')", "unit_id, issues", "", "unit_id"))
 def unit_records(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of stated unit records, worked out by hand."""
-    return A.unit_record_issues(spark.createDataFrame(_UNITS, "unit_id long, raw string"), ["status", "page_count"]).select("unit_id", F.array_join("issues", ";").alias("issues"))
+    """Issues of unit records, a set for each supplier, worked out by hand."""
+    rows = spread(spark, d, _UNITS, "unit_id long, raw string", "unit_id")
+    return A.unit_record_issues(rows, ["status", "page_count"]).select("unit_id", F.array_join("issues", ";").alias("issues"))
 
 
-_LINES = [(1, '{"annotator":"Kim","paper":"p","parser":"x","item":"order","score":3,"date":"d"}'), (2, " "), (3, "{oops"), (4, "[1]"), (5, '{"annotator":" Bot ","paper":"","parser":"x","item":"odd","score":7,"date":3}'), (6, '{"annotator":"Kim","paper":"p","parser":"x","item":"order","score":2.5}')]
+_LINES = [(1, '{"annotator":"Kim","paper":"p#","parser":"x","item":"order","score":3,"date":"d"}'), (2, " "), (3, "{oops"), (4, "[1]"), (5, '{"annotator":" Bot ","paper":"","parser":"x","item":"odd","score":7,"date":3}'), (6, '{"annotator":"Kim","paper":"p","parser":"x","item":"order","score":2.5}')]
 
 
-@query("annotation_issues", """SELECT * FROM (VALUES (3::BIGINT, 'not JSON'), (4, 'not an object'), (5, 'missing paper;reserved annotator;unknown item;bad score;bad date'), (6, 'bad score')) t(line_no, issues)""")
+@query("annotation_issues", spread_sql("(3::BIGINT, 'not JSON'), (4, 'not an object'), (5, 'missing paper;reserved annotator;unknown item;bad score;bad date'), (6, 'bad score')", "line_no, issues", "", "line_no"))
 def annotation_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Issues of stated annotation lines, worked out by hand."""
-    return A.annotation_issues(spark.createDataFrame(_LINES, "line_no long, line string"), ["order"], ["bot"]).select("line_no", F.array_join("issues", ";").alias("issues"))
+    """Issues of annotation lines, a set for each supplier, worked out by hand."""
+    rows = spread(spark, d, _LINES, "line_no long, line string", "line_no")
+    return A.annotation_issues(rows, ["order"], ["bot"]).select("line_no", F.array_join("issues", ";").alias("issues"))
 
 
 @query("report_status", """WITH i AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'R') AS e, bool_or(l_returnflag = 'A') AS w FROM lineitem GROUP BY 1)
@@ -95,11 +102,11 @@ _FIELDS = [("p", "control_type", "Bus Scheduling"), ("p", "holding_upper_bound",
 _SECTION = {"control_type": "research_problem", "holding_upper_bound": "control_constraints", "holding_lower_bound": "control_constraints", "rl_paradigm": "rl_formulation", "agent_definition": "rl_formulation", "centralized_or_decentralized": "rl_formulation"}
 
 
-@query("consistency_issues", "SELECT * FROM (VALUES ('p', '1'), ('q', '2,4'), ('r', '3')) t(paper_id, rules)")
+@query("consistency_issues", spread_sql("('p#', '1'), ('q#', '2,4'), ('r#', '3')", "paper_id, rules", "paper_id"))
 def consistency_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Rules between stated fields, worked out by hand."""
-    rows = [(p, f"{_SECTION[f]}.{f}", v, "explicit") for p, f, v in _FIELDS]
-    found = A.consistency_issues(spark.createDataFrame(rows, "paper_id string, field_id string, value string, status string"))
+    """Rules between fields, a set for each supplier, worked out by hand."""
+    rows = [(f"{p}#", f"{_SECTION[f]}.{f}", v, "explicit") for p, f, v in _FIELDS]
+    found = A.consistency_issues(spread(spark, d, rows, "paper_id string, field_id string, value string, status string"))
     return found.select("paper_id", F.array_join(F.col("rules").cast("array<string>"), ",").alias("rules"))
 
 
@@ -176,13 +183,13 @@ def timeline_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return A.timeline_artifacts(events, sessions, asked, claims)
 
 
-_SELECTED = [("p", "title", " A  Study "), ("p", "doi", " https://doi.org/10.1/ABC. "), ("p", "publication_year", "2020"), ("q", "publication_year", "1700"), ("q", "arxiv_id", "arXiv:2312.01234v2"), ("q", "venue", " J ")]
+_SELECTED = [("p#", "title", " A  Study # "), ("p#", "doi", " https://doi.org/10.1/ABC#. "), ("p#", "publication_year", "2020"), ("q#", "publication_year", "1700"), ("q#", "arxiv_id", "arXiv:2312.01234v2"), ("q#", "venue", " J "), ("q#", "abstract", " On #. ")]
 
 
-@query("materialize", """SELECT * FROM (VALUES ('p', 'A  Study', 'a study', 'https://doi.org/10.1/ABC.', '10.1/abc', NULL, 2020, NULL, NULL), ('q', NULL, NULL, NULL, NULL, '2312.01234v2', NULL, 'J', NULL)) t(paper_id, title, normalized_title, doi, normalized_doi, arxiv_id, publication_year, venue, abstract)""")
+@query("materialize", spread_sql("('p#', 'A  Study #', 'a study #', 'https://doi.org/10.1/ABC#.', '10.1/abc#', NULL, 2020, NULL, NULL), ('q#', NULL, NULL, NULL, NULL, '2312.01234v2', NULL, 'J', 'On #.')", "paper_id, title, normalized_title, doi, normalized_doi, arxiv_id, publication_year, venue, abstract", "paper_id, title, normalized_title, doi, normalized_doi, abstract"))
 def materialize(spark: SparkSession, d: str) -> DataFrame:
-    """Papers of stated candidates, worked out by hand."""
-    return A.materialize(spark.createDataFrame(_SELECTED, "paper_id string, field string, value string"), 2026)
+    """Papers of candidates, a set for each supplier, worked out by hand."""
+    return A.materialize(spread(spark, d, _SELECTED, "paper_id string, field string, value string"), 2026)
 
 
 @query("author_rows", r"""WITH p AS (SELECT p_partkey, list_filter([p_brand, CASE WHEN p_size > 25 THEN ' ' ELSE p_name END, p_type], lambda x: trim(x) <> '') AS a FROM part)

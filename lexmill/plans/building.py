@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import building as B
+from lexmill.plans.cases import spread, spread_sql
 from lexmill.registry import query
 from lexmill.sources.tables import table
 
@@ -94,28 +95,28 @@ def parse_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAGES = {
-    "plain": ["Vol. 3", "", "A study of tram-", "lines in towns", "Ann Lee, Bo Ode", "Cy Fox", "University of X", "Abstract"],
+    "plain": ["Vol. 3", "", "A study of tram-", "lines in town #", "Ann Lee, Bo Ode", "Cy Fox", "University of X", "Abstract"],
     "long": ["One two three", "four five six", "seven eight nine", "ten of them all", "eleven and more", "", "Dee Poe"],
     "none": ["", "Abstract", "12"],
     "stop": ["This is a sentence and no title.", "Ann Lee"],
 }
 
 
-@query("first_page", """SELECT * FROM (VALUES ('plain', 'A study of tram lines in towns', 'Ann Lee;Bo Ode;Cy Fox'), ('long', 'One two three four five six seven eight nine ten of them all', 'eleven;more'), ('none', NULL, ''), ('stop', NULL, '')) t(paper_id, title, authors)""")
+@query("first_page", spread_sql("('plain#', 'A study of tram lines in town #', 'Ann Lee;Bo Ode;Cy Fox'), ('long#', 'One two three four five six seven eight nine ten of them all', 'eleven;more'), ('none#', NULL, ''), ('stop#', NULL, '')", "paper_id, title, authors", "paper_id, title"))
 def first_page(spark: SparkSession, d: str) -> DataFrame:
-    """Titles and authors of stated first pages, checked by hand."""
-    rows = [(p, i, s) for p, lines in _PAGES.items() for i, s in enumerate(lines)]
-    return B.first_page(spark.createDataFrame(rows, "paper_id string, pos int, line string")).select("paper_id", "title", F.array_join("authors", ";").alias("authors"))
+    """Titles and authors of first pages, a set for each supplier, worked out by hand."""
+    rows = [(f"{p}#", i, s) for p, lines in _PAGES.items() for i, s in enumerate(lines)]
+    return B.first_page(spread(spark, d, rows, "paper_id string, pos int, line string")).select("paper_id", "title", F.array_join("authors", ";").alias("authors"))
 
 
 _FILES = [
-    (1, " A Study ", "Ann Lee; Bo Ode", "x doi 10.1234/AB.c, y", "Intro 2021\nAbstract\nThis is an abstract of more than thirty letters.\nIntroduction\nx arXiv:2312.01234v2", "1706.03762.pdf"),
+    (1, " A Study # ", "Ann Lee; Bo Ode", "x doi 10.1234/AB.c#, y", "Intro 2021\nAbstract\nThis is an abstract of more than thirty letters.\nIntroduction\nx arXiv:2312.01234v2", "1706.03762.pdf"),
     (2, " ", None, None, "Abstract\nToo short.\n1. One", "2313.01234.pdf"),
 ]
 
 
-@query("metadata_candidates", """SELECT * FROM (VALUES (1::BIGINT, 'title', 'A Study', 'metadata.title', 0.8::DOUBLE), (1, 'author', 'Ann Lee', 'metadata.author', 0.6), (1, 'author', 'Bo Ode', 'metadata.author', 0.6), (1, 'doi', '10.1234/ab.c', 'metadata.keywords', 0.95), (1, 'publication_year', '2021', 'first_pages_text', 0.5),
-(1, 'abstract', 'This is an abstract of more than thirty letters.', 'first_pages_text', 0.4), (1, 'arxiv_id', '2312.01234v2', 'first_pages_text', 0.95), (1, 'arxiv_id', '1706.03762', 'file_name', 0.9)) t(file_id, field, value, source, confidence)""")
+@query("metadata_candidates", spread_sql("""(1::BIGINT, 'title', 'A Study #', 'metadata.title', 0.8::DOUBLE), (1, 'author', 'Ann Lee', 'metadata.author', 0.6), (1, 'author', 'Bo Ode', 'metadata.author', 0.6), (1, 'doi', '10.1234/ab.c#', 'metadata.keywords', 0.95), (1, 'publication_year', '2021', 'first_pages_text', 0.5),
+(1, 'abstract', 'This is an abstract of more than thirty letters.', 'first_pages_text', 0.4), (1, 'arxiv_id', '2312.01234v2', 'first_pages_text', 0.95), (1, 'arxiv_id', '1706.03762', 'file_name', 0.9)""", "file_id, field, value, source, confidence", "value", "file_id"))
 def metadata_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of stated files, checked by hand."""
-    return B.metadata_candidates(spark.createDataFrame(_FILES, "file_id long, title string, author string, keywords string, text string, file_name string"))
+    """Candidates of files, a set for each supplier, worked out by hand."""
+    return B.metadata_candidates(spread(spark, d, _FILES, "file_id long, title string, author string, keywords string, text string, file_name string", "file_id"))

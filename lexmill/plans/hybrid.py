@@ -29,8 +29,8 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) D
 
 
 @query("hybrid_metrics", f"""WITH {_BM25}, {_dense_sql("documents")}, {_FUSED},
-qs AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM benchmark),
-ds AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM documents),
+qs AS (SELECT item_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM benchmark),
+ds AS (SELECT doc_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')) AS ws FROM documents),
 c AS (SELECT h.*, len(list_intersect(qs.ws, ds.ws)) AS rs FROM h JOIN qs ON qs.item_id = query_id JOIN ds ON ds.doc_id = id WHERE h.rank <= 20),
 e AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rs = 0, rs DESC, rank) AS rank FROM c),
 v AS (SELECT 'bm25' AS variant, query_id, id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, id, rank FROM near WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, id, rank FROM h WHERE rank <= 10 UNION ALL SELECT 'hybrid_rerank', query_id, id, rank FROM e WHERE rank <= 10),

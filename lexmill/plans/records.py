@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import ledger, matching, records
+from lexmill.plans.cases import spread, spread_sql
 from lexmill.registry import query
 from lexmill.sources.tables import table
 
@@ -20,16 +21,15 @@ def title_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.normalize_title(first).alias("title"))
 
 
-_IDS = [" https://doi.org/10.1/ABC. ", "doi:10.1000/xyz;", "http://dx.doi.org/10.5/Q", "10.7/plain", " ", "arXiv:2313.01234", "2312.01234v2", "2301.00001", "arxiv: 2301.123"]
+_IDS = [" https://doi.org/10.1/ABC#. ", "doi:10.1000/xyz#;", "http://dx.doi.org/10.5/Q#", "10.7/plain.#", " ", "arXiv:2313.01234", "2312.01234v2", "2301.00001", "arxiv: 2301.123", "https://dx.doi.org/doi:10.#/x"]
 
 
-@query("identifier_normalize", f"""WITH v(raw) AS (VALUES {", ".join(f"('{x}')" for x in _IDS)})
+@query("identifier_normalize", f"""WITH v AS ({spread_sql(", ".join(f"('{x}')" for x in _IDS), "raw", "raw")})
 SELECT raw, nullif(rtrim(trim(regexp_replace(lower(trim(raw)), '^(https://doi\\.org/|http://dx\\.doi\\.org/|https://dx\\.doi\\.org/|doi:)', '')), '.,;:'), '') AS doi,
   coalesce(regexp_matches(nullif(trim(regexp_replace(lower(trim(raw)), '^arxiv:', '')), ''), '^[0-9]{{2}}(0[1-9]|1[0-2])\\.[0-9]{{4,5}}(v[0-9]+)?$'), false) AS arxiv_ok FROM v""")
 def identifier_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """DOI and arXiv forms of stated literals; the tables hold none."""
-    rows = spark.createDataFrame([(x,) for x in _IDS], "raw string")
-    return rows.select("raw", T.normalize_doi(F.col("raw")).alias("doi"), T.valid_arxiv(F.col("raw")).alias("arxiv_ok"))
+    """DOI and arXiv forms with suppliers' keys in them."""
+    return spread(spark, d, [(x,) for x in _IDS], "raw string").select("raw", T.normalize_doi(F.col("raw")).alias("doi"), T.valid_arxiv(F.col("raw")).alias("arxiv_ok"))
 
 
 @query("html_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))::BIGINT AS n, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
@@ -92,14 +92,16 @@ def citation_resolve(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query("orphan_scan", "SELECT p_partkey AS key, 'part' AS kind FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("orphan_scan", "SELECT p_partkey AS key, 'part' AS kind FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT o_orderkey, 'order' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def orphan_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Parts, suppliers and customers that nothing refers to."""
+    """Parts, suppliers, customers, orders and documents that nothing refers to: not sold, not ordered, without lines, not labelled."""
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     part = records.orphans(table(spark, d, "part").withColumn("l_partkey", F.col("p_partkey")), line, "l_partkey").select(F.col("p_partkey").alias("key"), F.lit("part").alias("kind"))
     supplier = records.orphans(table(spark, d, "supplier").withColumn("l_suppkey", F.col("s_suppkey")), line, "l_suppkey").select(F.col("s_suppkey").alias("key"), F.lit("supplier").alias("kind"))
     customer = records.orphans(table(spark, d, "customer").withColumn("o_custkey", F.col("c_custkey")), orders, "o_custkey").select(F.col("c_custkey").alias("key"), F.lit("customer").alias("kind"))
-    return part.unionByName(supplier).unionByName(customer)
+    document = records.orphans(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("key"), F.lit("document").alias("kind"))
+    order = records.orphans(orders.withColumn("l_orderkey", F.col("o_orderkey")), line, "l_orderkey").select(F.col("o_orderkey").alias("key"), F.lit("order").alias("kind"))
+    return part.unionByName(supplier).unionByName(customer).unionByName(document).unionByName(order)
 
 
 @query("related_entities", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_shared FROM lineitem WHERE l_suppkey <> 1 AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1) GROUP BY 1")

@@ -23,8 +23,8 @@ scored AS (
   FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN stats GROUP BY 1, 2),
 bm25 AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 20)"""
 _OVERLAP = r"""
-qw AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM benchmark),
-dw AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents),
+qw AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'))) AS w FROM benchmark),
+dw AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'))) AS w FROM documents),
 ov AS (SELECT query_id, id, count(*) AS score FROM qw JOIN dw USING (w) GROUP BY 1, 2),
 overlap AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ov) WHERE rank <= 20)"""
 

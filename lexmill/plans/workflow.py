@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import workflow as W
+from lexmill.plans.cases import spread, spread_sql
 from lexmill.registry import query
 from lexmill.sources.tables import table
 
@@ -188,15 +189,15 @@ def line_map(spark: SparkSession, d: str) -> DataFrame:
     return W.line_map(turns, "conv_id", "turn", lines).select("conv_id", "turn", F.col("first_line").cast("long"), F.col("last_line").cast("long"))
 
 
-_VALUES = [(1, '"a"', "string"), (2, "3", "number"), (3, "true", "number"), (4, "true", "boolean"), (5, "[1]", "list"), (6, '{"a":1}', "object"), (7, "null", "number"), (8, '"x"', "enum"), (9, '"y"', "enum"), (10, "2.5", "number"), (11, '""', "string"), (12, "[]", "list"), (13, "{}", "object"), (14, "{oops", "object")]
-_SQL_VALUES = ", ".join(f"({i}, '{v}', '{t}')" for i, v, t in _VALUES)
+_VALUES = [(1, '"a#"', "string"), (2, "3#", "number"), (3, "true", "number"), (4, "true", "boolean"), (5, "[1, #]", "list"), (6, '{"a":#}', "object"), (7, "null", "number"), (8, '"x"', "enum"), (9, '"y#"', "enum"), (10, "2.5#1", "number"), (11, '""', "string"), (12, "[]", "list"), (13, "{}", "object"), (14, "{oops#", "object")]
+_SQL_VALUES = spread_sql(", ".join(f"({i}, '{v}', '{t}')" for i, v, t in _VALUES), "id, v, t", "v", "id")
 
 
-@query("value_types", f"""WITH v AS (SELECT id, v, t, CASE WHEN json_valid(v) THEN json_type(v) END AS j FROM (VALUES {_SQL_VALUES}) x(id, v, t))
+@query("value_types", f"""WITH v AS (SELECT id, v, t, CASE WHEN json_valid(v) THEN json_type(v) END AS j FROM ({_SQL_VALUES}))
 SELECT id::BIGINT AS id, coalesce(j = 'NULL' OR CASE t WHEN 'string' THEN j = 'VARCHAR' WHEN 'number' THEN j IN ('UBIGINT', 'BIGINT', 'DOUBLE') WHEN 'boolean' THEN j = 'BOOLEAN' WHEN 'list' THEN j = 'ARRAY' WHEN 'object' THEN j = 'OBJECT' WHEN 'enum' THEN v = '"x"' END, false) AS fits, v NOT IN ('null', '""', '[]', '{{}}') AS says FROM v""")
 def value_types(spark: SparkSession, d: str) -> DataFrame:
-    """Stated JSON values: whether each has its field's type, and whether it says something."""
-    rows = spark.createDataFrame(_VALUES, "id long, v string, t string")
+    """JSON values with suppliers' keys in them: whether each has its field's type, and whether it says something."""
+    rows = spread(spark, d, _VALUES, "id long, v string, t string", "id")
     return rows.select("id", W.json_matches_type(F.col("v"), F.col("t"), F.array(F.lit("x"))).alias("fits"), W.is_assertive(F.col("v")).alias("says"))
 
 
@@ -206,40 +207,41 @@ def field_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", W.field_query(F.col("p_brand"), F.col("p_name"), F.when(F.col("p_size") > 25, " ").otherwise(F.col("p_type"))).alias("q"))
 
 
-_FILES = ["2312.01234v2.pdf", "2313.01234.pdf", "arXiv_1706.03762.pdf", "notes.2312.01234.pdf", "2312.01234", "x.pdf", ""]
+_FILES = ["2312.01234v#.pdf", "2313.0123#.pdf", "arXiv_1706.03762.pdf#", "notes#.2312.01234.pdf", "2312.01234", "#.pdf", "", "arxiv-2401.00001v1#.x"]
 
 
-@query("filename_ids", "SELECT * FROM (VALUES ('2312.01234v2.pdf', '2312.01234v2'), ('2313.01234.pdf', NULL), ('arXiv_1706.03762.pdf', '1706.03762'), ('notes.2312.01234.pdf', NULL), ('2312.01234', NULL), ('x.pdf', NULL), ('', NULL)) t(name, arxiv)")
+@query("filename_ids", spread_sql("('2312.01234v#.pdf', '2312.01234v#'), ('2313.0123#.pdf', NULL), ('arXiv_1706.03762.pdf#', '1706.03762'), ('notes#.2312.01234.pdf', NULL), ('2312.01234', NULL), ('#.pdf', NULL), ('', NULL), ('arxiv-2401.00001v1#.x', '2401.00001v1#')", "name, arxiv", "name, arxiv"))
 def filename_ids(spark: SparkSession, d: str) -> DataFrame:
-    """arXiv ids of stated file names, checked by hand."""
-    return spark.createDataFrame([(f,) for f in _FILES], "name string").select("name", W.filename_arxiv(F.col("name")).alias("arxiv"))
+    """arXiv ids of file names with suppliers' keys in them, worked out by hand."""
+    return spread(spark, d, [(f,) for f in _FILES], "name string").select("name", W.filename_arxiv(F.col("name")).alias("arxiv"))
 
 
 _MESSAGES = [
-    (1, '{"message":{"title":["A study"],"author":[{"given":"Ann","family":"Lee"},{"family":"Ode"},{}],"issued":{"date-parts":[[2021,4]]},"container-title":["J"],"publisher":"P","DOI":"10.1/X"}}'),
+    (1, '{"message":{"title":["A study of #"],"author":[{"given":"Ann","family":"Lee"},{"family":"Ode"},{}],"issued":{"date-parts":[[2021,4]]},"container-title":["J"],"publisher":"P#","DOI":"10.1/X#","abstract":"<jats:p>On  buses #.</jats:p>"}}'),
     (2, '{"message":{"published-print":{"date-parts":[[2019]]},"issued":{"date-parts":[[2018]]}}}'),
     (3, "not json"),
 ]
 
 
-@query("provider_fields", """SELECT * FROM (VALUES (1::BIGINT, 'A study', 'Ann Lee;Ode', 2021, 'J', 'P', '10.1/X'), (2, NULL, '', 2019, NULL, NULL, NULL), (3, NULL, '', NULL, NULL, NULL, NULL)) t(id, title, authors, year, venue, publisher, doi)""")
+@query("provider_fields", spread_sql("(1::BIGINT, 'A study of #', 'Ann Lee;Ode', 2021, 'J', 'P#', '10.1/X#', 'On buses #.'), (2, NULL, '', 2019, NULL, NULL, NULL, NULL), (3, NULL, '', NULL, NULL, NULL, NULL, NULL)", "id, title, authors, year, venue, publisher, doi, abstract", "title, publisher, doi, abstract", "id"))
 def provider_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Unified fields of stated provider messages, checked by hand."""
-    return spark.createDataFrame(_MESSAGES, "id long, raw string").select("id", W.crossref_fields(F.col("raw")).alias("f")).select("id", "f.title", F.array_join("f.authors", ";").alias("authors"), "f.year", "f.venue", "f.publisher", "f.doi")
+    """Unified fields of providers' messages with suppliers' keys in them, worked out by hand."""
+    rows = spread(spark, d, _MESSAGES, "id long, raw string", "id").select("id", W.crossref_fields(F.col("raw")).alias("f"))
+    return rows.select("id", "f.title", F.array_join("f.authors", ";").alias("authors"), "f.year", "f.venue", "f.publisher", "f.doi", "f.abstract")
 
 
 _WORKS = [
-    ("openalex", '{"display_name":"A study","authorships":[{"author":{"display_name":"Ann Lee"}},{"author":null},{}],"publication_year":2021,"primary_location":{"source":{"display_name":"J"}},"doi":"https://doi.org/10.1/X"}'),
+    ("openalex", '{"display_name":"A study #","authorships":[{"author":{"display_name":"Ann Lee"}},{"author":null},{}],"publication_year":2021,"primary_location":{"source":{"display_name":"J"}},"doi":"https://doi.org/10.1/X"}'),
     ("openalex", "[]"),
     ("openalex", '{"title":"C","primary_location":null,"locations":[{"source":null},{"source":{"display_name":"L"}}]}'),
-    ("semantic", '{"title":"B study","authors":[{"name":"Bo Ode"},{"name":""}],"year":2019,"venue":"","journal":"K","externalIds":{"DOI":"10.1/Y"}}'),
+    ("semantic", '{"title":"B study","authors":[{"name":"Bo Ode #"},{"name":""}],"year":2019,"venue":"","journal":"K","externalIds":{"DOI":"10.1/Y"}}'),
     ("semantic", "not json"),
 ]
 
 
-@query("provider_works", """SELECT * FROM (VALUES ('openalex', 'A study', 'Ann Lee', 2021, 'J', 'https://doi.org/10.1/X'), ('openalex', NULL, '', NULL, NULL, NULL), ('openalex', 'C', '', NULL, 'L', NULL), ('semantic', 'B study', 'Bo Ode', 2019, 'K', '10.1/Y'), ('semantic', NULL, '', NULL, NULL, NULL)) t(provider, title, authors, year, venue, doi)""")
+@query("provider_works", spread_sql("('openalex', 'A study #', 'Ann Lee', 2021, 'J', 'https://doi.org/10.1/X'), ('openalex', NULL, '', NULL, NULL, NULL), ('openalex', 'C', '', NULL, 'L', NULL), ('semantic', 'B study', 'Bo Ode #', 2019, 'K', '10.1/Y'), ('semantic', NULL, '', NULL, NULL, NULL)", "provider, title, authors, year, venue, doi", "title, authors"))
 def provider_works(spark: SparkSession, d: str) -> DataFrame:
-    """Unified fields of stated works of the other two providers, checked by hand."""
-    rows = spark.createDataFrame(_WORKS, "provider string, raw string")
+    """Unified fields of works of the other two providers with suppliers' keys in them, worked out by hand."""
+    rows = spread(spark, d, _WORKS, "provider string, raw string")
     f = F.when(F.col("provider") == "openalex", W.openalex_fields(F.col("raw"))).otherwise(W.semantic_scholar_fields(F.col("raw")))
     return rows.select("provider", f.alias("f")).select("provider", "f.title", F.array_join("f.authors", ";").alias("authors"), "f.year", "f.venue", "f.doi")

@@ -1,5 +1,7 @@
 """Operators on small literal rows, with results worked out by hand."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,17 @@ def test_promotion_issues_and_nulls(spark):
 def test_white_space_of_any_kind_is_stripped(spark):
     row = spark.range(1).select(T.normalize_doi(F.lit("\t https://doi.org/10.1/ABC. \n")).alias("doi"), T.collapse(F.lit(" a  b\t")).alias("c")).first()
     assert (row.doi, row.c) == ("10.1/abc", "a b")
+
+
+def test_canonical_hash_ignores_the_order_of_fields(spark):
+    inner = lambda *f: F.struct(*[F.lit(v).alias(n) for n, v in f])
+    a = F.struct(F.lit(1).alias("a"), F.array(inner(("x", "é"), ("y", 2))).alias("b"), F.lit(None).cast("string").alias("c"), F.create_map(F.lit("k"), F.lit(1), F.lit("j"), F.lit(2)).alias("m"))
+    b = F.struct(F.create_map(F.lit("j"), F.lit(2), F.lit("k"), F.lit(1)).alias("m"), F.lit(None).cast("string").alias("c"), F.array(inner(("y", 2), ("x", "é"))).alias("b"), F.lit(1).alias("a"))
+    row = spark.range(1).select(workflow.canonical_hash(a).alias("a"), workflow.canonical_hash(b).alias("b")).first()
+    assert row.a == row.b == hashlib.sha256('{"a":1,"b":[{"x":"é","y":2}],"c":null,"m":{"j":2,"k":1}}'.encode()).hexdigest()
+
+
+def test_word_set_folds(spark):
+    rows = [("Straße ﬁne Ⅻ", ["strasse", "fine", "xii"]), ("ABC abc ＡＢＣ", ["abc"]), ("plain A a", ["plain", "a"]), (None, None), ("", [])]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").coalesce(1).select(T.word_set(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [w for _, w in rows]
