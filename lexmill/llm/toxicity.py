@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .shared import _power, byte_view, chunks, mix, saved, small_batches
 
 CONTEXT, BITS, LOW = 8, 5, 4  # symbols of h at most, bits of a symbol, order of the shared model
-SLOT_BITS, BUCKET_BITS = 25, 7
+WIDE_CONTEXT = 24  # symbols of h at most where letters take several
+BUCKET_BITS = 7
 DISCOUNT = 0.75
 SCALE = 16.0  # steps of a stored log ratio
 ABSENT = -128
@@ -34,39 +35,63 @@ MAX_BROADCAST_LABELS = 2_000_000
 MAX_BROADCAST_ENTRIES = 1 << 23  # of nine bytes
 CHUNK_BYTES = 16_000_000  # of texts scored together where the model is joined
 
-# Symbols: 0 separators, 1-26 letters, 27 digits, 28-31 other letters by their last byte. 255: bytes without a symbol.
+# Symbols: 0 separators, 1-26 letters, 27 digits, 28-31 other Latin letters by their last byte. 255: bytes without a symbol.
+# Letters from WIDE on, of other scripts, are spelt by all their bytes: one symbol for the first, two for each that follows.
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[48:58] = 27
 _SYMBOL[128:192] = 28 + np.arange(64) % 4
 _SYMBOL[192:] = 255
+_WIDE = 0xC6  # first byte of U+0180 and above
 _SALT = np.random.default_rng(9).integers(1, 2**63, 33, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _REST = 32  # salt of a history's slot for symbols that it lacks
 
 
+def spelt(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Symbols of UTF-8 bytes, which of them spell wide letters (None: none), and the rows' offsets among symbols."""
+    s = _SYMBOL[raw]
+    first = raw >= _WIDE
+    if not first.any():
+        keep = s != 255
+        return s[keep], None, np.concatenate([[0], np.cumsum(keep)])[offs]
+    wide = first.copy()
+    for k, least in ((1, _WIDE), (2, 0xE0), (3, 0xF0)):
+        wide[k:] |= raw[:-k] >= least
+    times = np.where(wide, np.where(first, 1, 2), (s != 255).astype(np.int64))
+    at = np.repeat(np.arange(len(raw)), times)
+    again = np.concatenate([[False], at[1:] == at[:-1]])
+    b, out, wide = raw[at], s[at], wide[at]
+    high = wide & ~first[at] & ~again
+    out[wide] = 1 + (b[wide] & 15)
+    out[high] = 28 + ((b[high] >> 4) & 3)
+    return out, wide, np.concatenate([[0], np.cumsum(times)])[offs]
+
+
 def grams(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some rows together: hash of h, x, id of h' x, and the first position of each row with the end last. Runs of
     separators count as one; each text starts after a separator and ends with one."""
     data, offs = byte_view(column)
     for i, j in chunks(offs, size):
         o = offs[i : j + 1] - offs[i]
-        s = _SYMBOL[data[offs[i] : offs[j]]]
-        keep = s != 255
-        row = np.concatenate([[0], np.cumsum(keep)])[o]
+        s, wide, row = spelt(data[offs[i] : offs[j]], o)
         n = np.diff(row)
-        x = np.zeros(int(row[-1]) + 2 * (j - i), np.int64)  # with a separator before and after each row
-        x[np.arange(int(row[-1])) + np.repeat(2 * np.arange(j - i) + 1, n)] = s[keep]
+        x = np.zeros(len(s) + 2 * (j - i), np.int64)  # with a separator before and after each row
+        place = np.arange(len(s)) + np.repeat(2 * np.arange(j - i) + 1, n)
+        x[place] = s
         owner = np.repeat(np.arange(j - i), n + 2)
         fresh = np.ones(len(x), bool)
         fresh[1:] = (x[1:] != 0) | (x[:-1] != 0) | (owner[1:] != owner[:-1])
-        x, owner = x[fresh], owner[fresh]
+        context = np.full(len(x), CONTEXT)
+        if wide is not None:
+            context[place[wide]] = context[place[wide] + 1] = WIDE_CONTEXT
+        x, owner, context = x[fresh], owner[fresh], context[fresh]
         at = np.arange(len(x))
         word = np.maximum.accumulate(np.where(x == 0, at, 0))
         first = np.zeros(len(x), bool)
         first[0] = True
         first[1:] = owner[1:] != owner[:-1]
         begin = np.zeros(len(x), np.int64)
-        begin[1:] = np.maximum(word[:-1], at[1:] - CONTEXT)
+        begin[1:] = np.maximum(word[:-1], at[1:] - context[1:])
         up, down = _power(len(x) + 1)
         run = np.concatenate([[np.uint64(0)], np.cumsum(_SALT[x] * up[: len(x)])])
         h = mix((run[:-1] - run[begin]) * down[begin] + (at - begin).astype(np.uint64))
@@ -78,11 +103,6 @@ def grams(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[np.ndarray, n
         yield h[take], x[take], low[take], np.concatenate([[0], np.cumsum(np.bincount(owner[take], minlength=j - i))])
 
 
-def slots(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
-    """A bucket of histories owns a range of slots."""
-    return ((h >> np.uint64(64 - BUCKET_BITS) << np.uint64(SLOT_BITS - BUCKET_BITS)) | (mix(h ^ _SALT[x]) >> np.uint64(64 - SLOT_BITS + BUCKET_BITS))).astype(np.int64)
-
-
 def bucket_bits(labelled: int) -> int:
     """Bits of the number of buckets: more for more labelled texts, so that what one task sums up does not grow."""
     return min(16, BUCKET_BITS + max(0, (labelled // 200_000).bit_length()))
@@ -189,12 +209,6 @@ def entry_ratios(keys: np.ndarray, lows: np.ndarray, n: np.ndarray, shared: np.n
     return heads, h, x, np.clip(np.rint(both * SCALE), -127, 127).astype(np.int8)
 
 
-def log_ratios(keys: np.ndarray, lows: np.ndarray, n: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of one bucket, from its first, and their stored log ratios: for models small enough to lie in slots."""
-    heads, h, x, value = entry_ratios(keys, lows, n, shared)
-    return np.concatenate([slots(heads, _REST), slots(h, x)]) & ((1 << (SLOT_BITS - BUCKET_BITS)) - 1), value
-
-
 def pair_keys(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h | x.astype(np.uint64)
 
@@ -226,14 +240,6 @@ class Ratios:
         return v
 
 
-def _slotted(ratio: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
-    v = ratio[slots(h, x)]
-    if len(gone := np.flatnonzero(v == ABSENT)):
-        v[gone] = ratio[slots(h[gone], _REST)]
-        v[v == ABSENT] = 0
-    return v
-
-
 _ENTRIES = "keys binary, early binary, full binary"
 
 
@@ -316,11 +322,11 @@ def _with_ratios(docs: DataFrame, entries: DataFrame, value: str, run: Callable[
 
 def features(column: pa.Array, ratio: Ratios | np.ndarray) -> np.ndarray:
     """One row each: log ratio per symbol, the largest of a word and the mean of the three largest, log length. Empty
-    texts: zeros. ratio: by key, or a small model in slots."""
+    texts: zeros."""
     out = []
     for h, x, _, row in grams(column):
         h = h & ~np.uint64(31)
-        v = (ratio(h, x) if isinstance(ratio, Ratios) else _slotted(ratio, h, x)).astype(np.float64) / SCALE
+        v = ratio(h, x).astype(np.float64) / SCALE
         run = np.concatenate([[0.0], np.cumsum(v)])
         n = np.diff(row)
         made = np.zeros((len(n), 4))

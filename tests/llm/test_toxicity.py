@@ -3,6 +3,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import toxicity as T
@@ -11,14 +12,20 @@ from lexmill.llm.queries import fold
 
 def grams(text):
     """[(h, x, h' x)] of a text, written plainly."""
-    s = [0]
-    for b in text.encode() + b" ":
-        c = int(T._SYMBOL[b])
-        if c != 255 and (c or s[-1]):
-            s.append(c)
+    s, far = [0], [False]
+    for letter in text + " ":
+        raw = letter.encode()
+        if raw[0] >= 0xC6:
+            spelling = [1 + raw[0] % 16] + [c for b in raw[1:] for c in (28 + b // 16 % 4, 1 + b % 16)]
+        else:
+            spelling = [int(T._SYMBOL[b]) for b in raw if T._SYMBOL[b] != 255]
+        for c in spelling:
+            if c or s[-1]:
+                s.append(c)
+                far.append(raw[0] >= 0xC6)
     out = []
     for i in range(1, len(s)):
-        begin = max(max(k for k in range(i) if s[k] == 0), i - 8)
+        begin = max(max(k for k in range(i) if s[k] == 0), i - (24 if far[i] or far[i - 1] else 8))
         h = tuple(s[begin:i])
         out.append((h, s[i], ((0, 0, 0) + h)[-3:] + (s[i],)))
     return out
@@ -55,21 +62,43 @@ def brute_ratio(train, probe):
 
 
 def test_ratios_follow_the_formula():
-    train = [("the cat sat on the mat", 0), ("a dog, the cat", 0), ("you vile cat scum", 1), ("vile vile  mattresses", 1)]
+    train = [("the cat sat on the mat", 0), ("a dog, the cat", 0), ("you vile cat scum", 1), ("vile vile  mattresses", 1), ("кот и кошка", 0), ("мерзкий 猫", 1)]
     batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in train]), pa.array([y for _, y in train])], ["text", "label"])
     names = ["keys", "lows", "counts"]
     keys, lows, n = T._unpacked([sum((r.column(c).to_pylist() for r in T._count(T.BUCKET_BITS)(iter([batch]))), []) for c in names])
     shared = T.shared_model(np.bincount(lows, minlength=1 << 20))
-    ratio = np.full(1 << T.SLOT_BITS, T.ABSENT, np.int8)
-    for b in np.unique(keys >> np.uint64(64 - T.BUCKET_BITS)):
-        own = keys >> np.uint64(64 - T.BUCKET_BITS) == b
-        at, value = T.log_ratios(keys[own], lows[own], n[own, :2], shared)
-        ratio[at + (int(b) << (T.SLOT_BITS - T.BUCKET_BITS))] = value
-    for probe in ("the vile scum", "the cat", "zzz é 9", "x", "mattresses, vilest", ""):
+    heads, h, x, value = T.entry_ratios(keys, lows, n[:, :2], shared)
+    ratio = T.Ratios(np.concatenate([T.rest_keys(heads), T.pair_keys(h, x)]), value)
+    for probe in ("the vile scum", "the cat", "zzz é 9", "x", "mattresses, vilest", "", "кот", "кот собака", "это мерзкий кот", "猫が好き", "дом 猫 the😀"):
         got = T.features(pa.array([probe]), ratio)[0, 0]
         assert abs(got - brute_ratio(train, probe)) < 0.5 / T.SCALE + 1e-9, probe
 
 
+@pytest.mark.parametrize("letters, joint, least", [("абвгдежзийклмнопрстуфхцчшщъыьэюя", " ", 0.95), ("αβγδεζηθικλμνξοπρστυφχψω", " ", 0.95), ("".join(chr(c) for c in range(0x4E00, 0x4E00 + 400)), "", 0.75)])
+def test_other_scripts_are_told_apart(spark, letters, joint, least):
+    """Toxic texts hold a few words of their own among common ones, of the same letters; held-out texts are ranked. Without
+    spaces histories run across words, so few of them recur in 300 texts."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list(letters), 4 if joint else 2)) for _ in range(220)]
+    bad, good = words[:20], words[20:]
+    rows = []
+    for i in range(400):
+        toxic = i % 3 == 0
+        own = [*rng.choice(good, 12), *(rng.choice(bad, 4) if toxic else rng.choice(good, 4))]
+        rng.shuffle(own)
+        rows.append((i, joint.join(own) if joint else " ".join("".join(own[k : k + 4]) for k in range(0, 16, 4)), int(toxic)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 300], "doc_id long, toxic int")
+    got = {r.doc_id: r.log_ratio for r in T.toxicity(docs, labels, F.col("doc_id") % 4 == 1).collect()}
+    held = [(got[i], y) for i, _, y in rows[300:]]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in held for b, y in held if x and not y]
+    assert np.mean(pairs) >= least
+
+
+def test_letters_of_a_script_are_distinct():
+    for letters in ("".join(map(chr, range(0x400, 0x460))), "".join(map(chr, range(0x4E00, 0x9FA5))), "".join(map(chr, range(0x900, 0x980)))):
+        assert len({tuple(T.spelt(np.frombuffer(c.encode(), np.uint8), np.array([0, len(c.encode())]))[0].tolist()) for c in letters}) == len(letters)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -91,17 +120,10 @@ def test_edge_rows(spark):
     assert T.toxicity(docs.limit(0), labels, F.lit(False)).count() == 0
 
 
-def test_pairs_of_one_slot_keep_their_own_ratios(spark):
+def test_words_that_begin_alike_keep_their_own_ratios(spark):
     rng = np.random.default_rng(4)
     words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (6000, 7))]
-    met = {}
-    for w in words:  # two words whose last letters share a slot
-        h, x, _, _ = next(T.grams(pa.array([w])))
-        other = met.setdefault(int(T.slots(h & ~np.uint64(31), x)[6]), w)
-        if other != w:
-            break
-    else:
-        raise AssertionError("no two words share a slot")
+    other, w = words[0][:3] + words[1][3:], words[0]  # words that begin alike
     train = [(other, 1), (w, 0), (w, 0)]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(train)] + [(8, w[:6] + "z"), (9, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(train)], "doc_id long, toxic int")
