@@ -154,20 +154,20 @@ def paper_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    """documents as records: the normalized first line as title, the source as author."""
+    """documents as records: the normalized first line as title, the language as author."""
     first = T.normalize_title(F.element_at(F.split("text", "\n"), 1))
     none = F.lit(None).cast("string")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), none.alias("doi"), none.alias("arxiv"), first.alias("title"), F.array("source").alias("authors"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), none.alias("doi"), none.alias("arxiv"), first.alias("title"), F.array("lang").alias("authors"))
 
 
-@query("near_dup_classes", f"""WITH t AS (SELECT doc_id AS id, source, nullif(trim(trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[{_DASH}]+', ' ', 'g'), '\\s+', ' ', 'g')), '.,;:!?"''()[]{{}}'), '') AS title FROM documents)
-SELECT id, CASE WHEN title IS NOT NULL THEN min(id) OVER (PARTITION BY title, source) END AS title_class, CASE WHEN title IS NOT NULL THEN count(*) OVER (PARTITION BY title, source) END AS title_size FROM t""")
+@query("near_dup_classes", f"""WITH t AS (SELECT doc_id AS id, lang, nullif(trim(trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[{_DASH}]+', ' ', 'g'), '\\s+', ' ', 'g')), '.,;:!?"''()[]{{}}'), '') AS title FROM documents)
+SELECT id, CASE WHEN title IS NOT NULL THEN min(id) OVER (PARTITION BY title, lang) END AS title_class, CASE WHEN title IS NOT NULL THEN count(*) OVER (PARTITION BY title, lang) END AS title_size FROM t""")
 def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one first line and source as classes, a row a document."""
+    """Documents of one first line and language as classes, a row a document."""
     return matching.record_classes(_titled(spark, d)).select("id", "title_class", "title_size")
 
 
 @query("near_dup_pairs")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of classes of one source whose first lines are alike; letters are compared one by one, so tests check it against all pairs."""
+    """Pairs of classes of one language whose first lines are alike; letters are compared one by one, so tests check it against all pairs."""
     return matching.similar_records(_titled(spark, d), least=0.95)
