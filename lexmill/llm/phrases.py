@@ -25,7 +25,7 @@ from .shared import byte_view, mix, places, saved, small_batches, span_hashes, t
 FLUSH = 1 << 20  # words of a shard's trie; ids of its words have 21 bits
 KEY_BITS = 40  # of a hash, where pairs are only weeded out
 FILTER_BITS = 27  # of the bitmap: 16 MB at every size
-RANGE_BYTES = 4 << 20  # of text, for each range of tries
+RANGE_BYTES = 12 << 20  # of text, for each range of tries
 BLOCK = 1 << 20  # bytes of text in work at once
 
 #: Fixed values of op13's contract: bytes that end a piece, and those that part words.
@@ -218,7 +218,8 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def pack_trie(paths: np.ndarray) -> bytes:
     """Sorted distinct paths (_PATH; two words at least, 0 for none; n: how often exactly this path) as a trie in level
-    order: of each level the labels, how often a path ends there, and the number of children."""
+    order: of each level the labels, how often a path ends there, and the number of children. Labels are places in a list
+    of the trie's words."""
     pair = (paths["h1"][1:] != paths["h1"][:-1]) | (paths["h2"][1:] != paths["h2"][:-1])
     new2 = np.concatenate([[True], pair])
     new3 = (paths["h3"] != 0) & (new2 | np.concatenate([[True], paths["h3"][1:] != paths["h3"][:-1]]))
@@ -228,19 +229,22 @@ def pack_trie(paths: np.ndarray) -> bytes:
     end3 = np.where(paths["h4"][at3] == 0, paths["n"][at3], 0)
     kids3 = np.bincount(np.searchsorted(at2, at3, "right") - 1, minlength=len(at2)) if len(at3) else np.zeros(len(at2), np.int64)
     kids4 = np.bincount(np.searchsorted(at3, at4, "right") - 1, minlength=len(at3)) if len(at4) else np.zeros(len(at3), np.int64)
-    sizes = np.array([len(at2), len(at3), len(at4)], "<i8")
-    levels = [paths["h1"][at2], paths["h2"][at2], end2, kids3, paths["h3"][at3], end3, kids4, paths["h4"][at4], paths["n"][at4]]
-    return sizes.tobytes() + b"".join(_planes(np.ascontiguousarray(x).astype("<u8")) for x in levels)
+    words, label = np.unique(np.concatenate([paths["h1"][at2], paths["h2"][at2], paths["h3"][at3], paths["h4"][at4]]), return_inverse=True)
+    sizes = np.array([len(words), len(at2), len(at3), len(at4)], "<i8")
+    levels = [end2, kids3, end3, kids4, paths["n"][at4]]
+    return sizes.tobytes() + _planes(np.diff(words, prepend=np.uint64(0))) + _planes(label.astype("<u4")) + b"".join(_planes(x.astype("<u8")) for x in levels)
 
 
 def unpack_trie(raw: bytes) -> np.ndarray:
     """The paths of pack_trie, in another order."""
-    n2, n3, n4 = np.frombuffer(raw, "<i8", 3).tolist()
-    at, parts = 24, []
-    for n in (n2, n2, n2, n2, n3, n3, n3, n4, n4):
-        parts.append(_numbers(raw[at : at + 8 * n], "<u8"))
-        at += 8 * n
-    h1, h2, end2, kids3, h3, end3, kids4, h4, end4 = parts
+    n1, n2, n3, n4 = np.frombuffer(raw, "<i8", 4).tolist()
+    at, parts = 32, []
+    for n, kind in ((n1, "<u8"), (2 * n2 + n3 + n4, "<u4"), (n2, "<u8"), (n2, "<u8"), (n3, "<u8"), (n3, "<u8"), (n4, "<u8")):
+        width = np.dtype(kind).itemsize
+        parts.append(_numbers(raw[at : at + width * n], kind))
+        at += width * n
+    steps, label, end2, kids3, end3, kids4, end4 = parts
+    h1, h2, h3, h4 = np.split(np.cumsum(steps)[label], np.cumsum([n2, n2, n3]))
     up3 = np.repeat(np.arange(n2), kids3.astype(np.int64))
     up4 = np.repeat(np.arange(n3), kids4.astype(np.int64))
     out = np.zeros(n2 + n3 + n4, _PATH)
