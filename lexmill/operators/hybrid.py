@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,23 +16,31 @@ from lexmill.operators import retrieval
 DIMS = 64
 
 
-def _slot(term: Column, dims: int) -> tuple[Column, Column]:
+def _slot(term: str, dims: int) -> tuple[int, int]:
     """Slot and sign of a term, by the first digits of its md5: any engine gives the same."""
-    digest = F.md5(term.cast("binary"))
-    slot = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % dims
-    return slot.cast("int"), F.when(F.conv(F.substring(digest, 7, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    digest = hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:6], 16) % dims, 1 if int(digest[6], 16) % 2 == 0 else -1
+
+
+def _summed(tokens: pa.Array, dims: int) -> pa.Array:
+    """A vector for each list of tokens, null for an empty or null one; each term of the batch is hashed once."""
+    coded = tokens.flatten().dictionary_encode()
+    placed = np.array([_slot(t, dims) for t in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+    many = pc.fill_null(tokens.value_lengths(), 0).to_numpy()
+    at = placed[coded.indices.to_numpy()]
+    sums = np.bincount(np.repeat(np.arange(len(tokens)), many) * dims + at[:, 0], at[:, 1], len(tokens) * dims)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sums) + 1, dims), pa.int32()), pa.array(sums, pa.float64()), mask=pa.array(many == 0))
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
     """id and vector (array<double> of dims whole numbers): signed counts of the words that fall in each slot. Texts
-    without a word, null ones too, have a null vector; ids must be unique."""
-    base = df.select(F.col(id_col).alias("id"), T.bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    counts = base.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    slot, sign = _slot(F.col("term"), dims)
-    sums = counts.groupBy("id", slot.alias("slot")).agg(F.sum(sign * F.col("n")).cast("double").alias("v"))
-    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return df.select(F.col(id_col).alias("id")).join(held, "id", "left").select("id", F.when(F.col("m").isNotNull(), dense).alias("vector"))
+    without a word, null ones too, have a null vector. Row by row, nothing is shuffled."""
+
+    @F.arrow_udf("array<double>")
+    def vector(tokens: pa.Array) -> pa.Array:
+        return _summed(tokens, dims)
+
+    return df.select(F.col(id_col).alias("id"), vector(T.bm25_tokens(F.col(text_col))).alias("vector"))
 
 
 def text_digest(text: Column) -> Column:
@@ -36,8 +49,9 @@ def text_digest(text: Column) -> Column:
 
 def build_index(corpus: DataFrame, group: str, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
     """An index of a corpus: grp, id, digest of the text, dims and vector."""
-    made = hashed_vectors(corpus, id_col, text_col, dims)
-    return corpus.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.lit(dims).alias("dims")).join(made, "id")
+    kept = corpus.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = hashed_vectors(kept.withColumn("row", F.struct("grp", "id", text_digest(F.col("text")).alias("digest"))), "row", "text", dims)
+    return made.select("id.grp", "id.id", "id.digest", F.lit(dims).alias("dims"), "vector")
 
 
 def index_states(corpus: DataFrame, index: DataFrame, group: str, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
@@ -61,8 +75,7 @@ def index_states(corpus: DataFrame, index: DataFrame, group: str, id_col: str, t
 
 def ranked_by_words(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_col: str, query_text: str) -> DataFrame:
     """query_id, id, score, rank by BM25; scores to six places, ties to the smaller id."""
-    scored = retrieval.bm25_scores(corpus, queries, id_col, text_col, query_col, query_text)
-    return retrieval.top_k(scored.withColumn("score", F.round("score", 6)), k)
+    return retrieval.bm25_topk(corpus, queries, k, id_col, text_col, query_col, query_text)
 
 
 def ranked_by_vectors(vectors: DataFrame, queries: DataFrame, k: int, query_col: str, query_text: str, dims: int = DIMS) -> DataFrame:

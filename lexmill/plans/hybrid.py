@@ -9,6 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import acceptance, hybrid, metrics, retrieval
 from lexmill.plans.retrieval import _BM25, _TOK
 from lexmill.registry import query
+from lexmill.sources.checkpoints import written
 from lexmill.sources.tables import table
 
 
@@ -45,17 +46,18 @@ def hybrid_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Four variants of searching documents for each passage: mean recall and reciprocal rank at 10. A document is sought if
     it holds the passage's first eight words in a row; fused hits are reranked by distinct words shared."""
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    words = hybrid.ranked_by_words(docs, asked, 20, "doc_id", "text", "item_id", "text")
-    near = hybrid.ranked_by_vectors(hybrid.hashed_vectors(docs, "doc_id", "text"), asked, 20, "item_id", "text")
+    words = written(hybrid.ranked_by_words(docs, asked, 20, "doc_id", "text", "item_id", "text"))
+    near = written(hybrid.ranked_by_vectors(hybrid.hashed_vectors(docs, "doc_id", "text"), asked, 20, "item_id", "text"))
     fused = retrieval.rrf(words, near, 20, candidates=20).select("query_id", "id")
     texts = lambda df, key, name: df.select(F.col(key).alias(name), T.word_set(F.col("text")).alias(f"{name}_ws"))
-    scores = fused.join(texts(docs, "doc_id", "id"), "id").join(F.broadcast(texts(asked, "item_id", "query_id")), "query_id")
+    found = docs.join(F.broadcast(fused.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")  # 20 texts a passage at most
+    scores = fused.join(texts(found, "doc_id", "id"), "id").join(F.broadcast(texts(asked, "item_id", "query_id")), "query_id")
     scores = scores.select("query_id", "id", F.size(F.array_intersect("id_ws", "query_id_ws")).cast("double").alias("rerank_score")).where("rerank_score > 0")
     hits = acceptance.search_variants(words, near, scores, 10, candidates=20)
     tokens = docs.select(F.col("doc_id").alias("id"), T.bm25_tokens(F.col("text")).alias("ts")).where("size(ts) >= 8")
-    windows = tokens.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ts") - 7), lambda i: F.array_join(F.slice("ts", i, 8), " "))).alias("w"))
-    begins = asked.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.bm25_tokens(F.col("text")), 1, 8), " ").alias("w"))
-    gold = windows.join(begins, "w").select("query_id", "id").distinct()
+    begins = asked.select(F.col("item_id").alias("query_id"), F.slice(T.bm25_tokens(F.col("text")), 1, 8).alias("b")).withColumn("h", F.explode(T.run_hashes(8)("b")))
+    windows = tokens.select("id", "ts", F.posexplode(T.run_hashes(8)("ts")).alias("p", "h"))
+    gold = written(windows.join(F.broadcast(begins), "h").where(F.slice("ts", F.col("p") + 1, 8) == F.col("b")).select("query_id", "id").distinct())
     both = hits.select("variant").distinct().crossJoin(gold.select("query_id").distinct())  # four rows by the queries
     keyed = lambda df: df.withColumn("query_id", F.struct("variant", "query_id"))
     scored = metrics.ranking_metrics(keyed(hits), keyed(both.join(gold, "query_id")).select("query_id", "id"), 10)

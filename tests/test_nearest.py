@@ -67,3 +67,39 @@ def test_nothing_to_search(spark):
     some = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
     assert retrieval.dense_topk(none, some, 3, "id", "v", "id", "v").count() == 0
     assert retrieval.dense_topk(some, none, 3, "id", "v", "id", "v").count() == 0
+
+
+def test_words_in_blocks(spark, small_blocks):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["a", "b", "cc", "d1", "é"] + [f"w{i}" for i in range(40)])
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(90)] + [(200 + i, "a b b") for i in range(40)] + [(300, None), (301, "")]
+    asked = [(q, " ".join(word() for _ in range(rng.randint(0, 8)))) for q in range(20)] + [(50, "b a a"), (51, None), (52, "none of these")]
+    corpus, queries = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "q long, t string")
+    for best, scores in ((retrieval.bm25_topk, retrieval.bm25_scores), (retrieval.overlap_topk, retrieval.overlap_scores)):
+        every = {}
+        for r in scores(corpus, queries, "id", "text", "q", "t").collect():
+            every.setdefault(r.query_id, []).append((-round(r.score, 6), r.id))
+        want = {(q, i): (n + 1, -s) for q, held in every.items() for n, (s, i) in enumerate(sorted(held)[:5])}
+        got = told(best(corpus, queries, 5, "id", "text", "q", "t"))
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=2e-6) for x in got) and len(got) > 80
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "wiki_lexical", "rrf_fusion", "retrieval_metrics", "hybrid_search"])
+def test_no_row_a_text_and_query(spark, sf, name):
+    # former version: postings joined with the queries' terms, a row for each text, query and shared term
+    from lexmill import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "tf#" not in plan
+
+
+def test_run_hashes_tell_runs_apart(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.functions import text as T
+
+    rows = [("a b c d",), ("b c d",), ("ab c d",), ("a b",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string").select("t", T.run_hashes(3)(F.split("t", " ")).alias("h"))
+    got = {r.t: r.h for r in df.coalesce(1).collect()}
+    assert [len(got[t] or []) for (t,) in rows] == [2, 1, 1, 0, 0, 0]
+    assert got["a b c d"][1] == got["b c d"][0] != got["ab c d"][0] and got["a b c d"][0] != got["ab c d"][0]
