@@ -82,11 +82,13 @@ def resolve_entities(proposals: DataFrame, entities: DataFrame) -> DataFrame:
     a canonical name first, else an alias; several entities are ambiguous, none is new."""
     canon = entities.select("entity_id", F.col("name_key").alias("key"), F.lit(0).alias("tier"))
     alias = entities.select("entity_id", F.explode("alias_keys").alias("key"), F.lit(1).alias("tier"))
-    hits = proposals.join(canon.unionByName(alias), proposals.name_key == F.col("key")).groupBy("proposal_id", "tier").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
-    best = hits.groupBy("proposal_id").agg(F.min(F.struct("tier", "n", "entity_id")).alias("h"))
-    sole = F.col("h.n") == 1
-    decision = F.when(F.col("h").isNull(), "new").when(~sole, "ambiguous").when(F.col("h.tier") == 0, "exact").otherwise("alias")
-    return proposals.select("proposal_id").join(best, "proposal_id", "left").select("proposal_id", F.when(sole, F.col("h.entity_id")).alias("entity_id"), decision.alias("decision"))
+    # a key's entities are one row before proposals meet them: two differ where least and greatest do
+    held = canon.unionByName(alias).groupBy("key", "tier").agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most"))
+    hits = proposals.join(held, proposals.name_key == F.col("key")).groupBy("proposal_id", "tier").agg(F.min("least").alias("entity_id"), F.max("most").alias("most"))
+    best = hits.groupBy("proposal_id").agg(F.min(F.struct("tier", "entity_id", "most")).alias("h"))
+    sole = F.col("h.entity_id") == F.col("h.most")
+    decision = F.when(F.col("h").isNull(), "new").when(~F.coalesce(sole, F.lit(False)), "ambiguous").when(F.col("h.tier") == 0, "exact").otherwise("alias")
+    return proposals.select("proposal_id").join(best.hint("merge"), "proposal_id", "left").select("proposal_id", F.when(sole, F.col("h.entity_id")).alias("entity_id"), decision.alias("decision"))
 
 
 def same_topic(pairs: DataFrame, a: Column, b: Column, least: float = 0.6) -> DataFrame:
