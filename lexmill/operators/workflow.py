@@ -40,15 +40,29 @@ def best_topic_match(entries: DataFrame, titles: DataFrame) -> DataFrame:
     """title_id, entry_id, score: for each title the entry of its workspace with the largest Jaccard similarity of words,
     1 where the titles are equal but for case and outer blanks; at least SAME_TOPIC, ties to the smaller entry_id.
 
-    Titles meet entries by their words, so only pairs that share one are compared. Titles without a word match nothing.
+    Equal titles of a workspace are compared as one. Titles meet entries by the rarest of their words, as many as any pair that
+    reaches SAME_TOPIC must share one of, so frequent words bring no pairs. Titles without a word match nothing.
     """
-    e = entries.select("workspace_id", "entry_id", F.col("title").alias("e_title"), T.word_set(F.col("title")).alias("e_words"))
-    t = titles.select("workspace_id", "title_id", F.col("title").alias("t_title"), T.word_set(F.col("title")).alias("t_words"))
-    met = t.select("workspace_id", "title_id", F.explode("t_words").alias("w")).join(e.select("workspace_id", "entry_id", F.explode("e_words").alias("w")), ["workspace_id", "w"]).groupBy("workspace_id", "title_id", "entry_id").agg(F.count("*").alias("both"))
-    sized = met.join(t.select("workspace_id", "title_id", F.size("t_words").alias("tn"), F.lower(F.trim("t_title")).alias("tt")), ["workspace_id", "title_id"]).join(e.select("workspace_id", "entry_id", F.size("e_words").alias("en"), F.lower(F.trim("e_title")).alias("et")), ["workspace_id", "entry_id"])
-    score = F.when(F.col("tt") == F.col("et"), 1.0).otherwise(F.col("both") / (F.col("tn") + F.col("en") - F.col("both")))
-    best = Window.partitionBy("workspace_id", "title_id").orderBy(F.col("score").desc(), "entry_id")
-    return sized.withColumn("score", score).where(F.col("score") >= SAME_TOPIC).withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("workspace_id", "title_id", "entry_id", "score")
+    words = lambda c: F.array_sort(T.word_set(F.col(c)))
+    known = lambda df, n: df.select("workspace_id", f"{n}_id", F.lower(F.trim("title")).alias("title"), words("title").alias("words")).where("workspace_id is not null and size(words) > 0")
+    e = known(entries, "entry").groupBy("workspace_id", "title", "words").agg(F.min("entry_id").alias("entry_id"))
+    every = known(titles, "title")
+    t = every.select("workspace_id", "title", "words").distinct()
+    often = e.select("workspace_id", F.explode("words").alias("w")).groupBy("workspace_id", "w").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("workspace_id", "title", "words").orderBy("n", "w")
+    some = F.size("words") - F.ceil(F.lit(SAME_TOPIC) * F.size("words") - 1e-9) + 1
+
+    def rare(df: DataFrame) -> DataFrame:
+        held = df.withColumn("w", F.explode("words")).join(often, ["workspace_id", "w"], "left").fillna(0, ["n"])
+        return held.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= some).drop("_rn", "n")
+
+    a, b = rare(t), rare(e).withColumnsRenamed({"title": "e_title", "words": "e_words"})
+    fits = (F.size("words") * SAME_TOPIC <= F.size("e_words") + 1e-9) & (F.size("e_words") * SAME_TOPIC <= F.size("words") + 1e-9)
+    met = a.join(b, ["workspace_id", "w"]).where(fits).drop("w").distinct()
+    both = F.size(F.array_intersect("words", "e_words"))
+    score = F.when(F.col("title") == F.col("e_title"), 1.0).otherwise(both / (F.size("words") + F.size("e_words") - both))
+    best = met.withColumn("score", score).where(F.col("score") >= SAME_TOPIC).groupBy("workspace_id", "title", "words").agg(F.min(F.struct(-F.col("score"), "entry_id", "score")).alias("m"))
+    return every.join(best.hint("merge"), ["workspace_id", "title", "words"]).select("workspace_id", "title_id", "m.entry_id", "m.score")
 
 
 def fan_out(hits: DataFrame, per_paper: int, k: int) -> DataFrame:
