@@ -73,3 +73,12 @@ def test_recheck_is_bounded_and_ends(spark):
     told = report(validate(rows.withColumn("g", F.lit(1)), rules(), fixes), ["g"]).first()
     assert (told.rows, told.failed, told.rechecked, told.status) == (5, 2, 2, "failed")
     assert validate(rows.limit(0), rules(), fixes).count() == 0
+
+
+def test_no_table_of_keys_is_broadcast(spark, sf):
+    # former version: labels, groups and mappings were broadcast, by the small size of their files
+    from lexmill import registry
+
+    for name in ("duplicate_states", "merged_orders", "merge_audit"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
