@@ -51,5 +51,6 @@ def reference_round_trip(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     parts = dict(authors=authors, year=(1950 + F.col("p_size")).cast("string"), title=F.concat("p_name", F.lit(". With "), key.cast("string"), F.lit(" parts, and more")), journal=F.col("p_type"), volume=F.col("p_size").cast("string"), pages=F.concat_ws("-", key.cast("string"), (key + 9).cast("string")), doi=F.lit(None).cast("string"))
     lines = [part.select("p_partkey", C.render(style, **parts).alias("line")) for style in ("apa", "mla", "gb_t")]
-    told = reduce(DataFrame.unionAll, lines).select("p_partkey", reference_fields("line").alias("f"))
+    every = reduce(DataFrame.unionAll, lines).repartition(4 * spark.sparkContext.defaultParallelism)  # parts fill few splits, their lines take long
+    told = every.select("p_partkey", reference_fields("line").alias("f"))
     return told.select("p_partkey", *[F.col("f")[n].alias(n) for n in ("style", "authors", "title", "year", "journal", "volume", "pages", "status")])

@@ -29,3 +29,20 @@ def test_column(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, LINES[0][0])], "k int, line string")
     got = {r.k: r.f for r in df.select("k", reference_fields("line").alias("f")).collect()}
     assert (got[1].status, got[2].status, got[1].authors) == ("failed", "failed", []) and got[3].title == LINES[0][3]
+
+
+def test_round_trip_uses_all_cores(spark, sf):
+    # former version: a task for each split of the parts, one at sf0.1
+    from lexmill.plans.citations import reference_round_trip
+
+    assert reference_round_trip(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pieces_are_judged_once():
+    from lexmill.functions import citation_text as C
+
+    C._fits.cache_clear()
+    C.parse_reference.cache_clear()
+    for i in range(50):
+        parse_reference(f"Stone, A. (2001). hot ring. STANDARD, 12, {i}-{i + 9}.")
+    assert C._fits.cache_info().misses < 70
