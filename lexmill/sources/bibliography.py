@@ -7,8 +7,11 @@ file is read by many tasks and a record that spans two of them by one. Macros (`
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
@@ -26,36 +29,37 @@ _FIELD = StructType([StructField("name", StringType()), StructField("parts", Arr
 ENTRY = StructType([StructField("kind", StringType()), StructField("key", StringType()), StructField("fields", ArrayType(_FIELD)), StructField("complete", BooleanType())])
 
 
+_BLANK = {"": re.compile(r"\s*"), ",": re.compile(r"[\s,]*")}
+_WORD = re.compile(r"[^\s{}(),=#\"]+")
+_SIGN = re.compile(r"\\.|[{}\"]", re.S)  # an escaped sign is one of its own
+_INNER = r"\{(?:[^{}\\]++|\{[^{}\\]*+\})*+\}"  # braces within a value, two deep
+_PLAIN = re.compile(rf"""([^\s{{}}(),=#"]+)\s*=\s*(?:\{{((?:[^{{}}\\]++|{_INNER})*+)\}}|"((?:[^"{{}}\\]++|{_INNER})*+)"|([^\s{{}}(),=#"]++))\s*(?=[,}})])""")
+_STRING = r"(?i)^[\s\p{Z}\x1c-\x1f\x85]*string[\s\p{Z}\x1c-\x1f\x85]*[{(]"
+
+
 class _Cursor:
     def __init__(self, text: str) -> None:
         self.text, self.at = text, 0
 
     def skip(self, marks: str = "") -> str:
         """White space and marks off; the next sign, or nothing at the end."""
-        while self.at < len(self.text) and (self.text[self.at].isspace() or self.text[self.at] in marks):
-            self.at += 1
+        self.at = _BLANK[marks].match(self.text, self.at).end()
         return self.text[self.at : self.at + 1]
 
     def word(self) -> str:
-        m = re.compile(r"[^\s{}(),=#\"]+").match(self.text, self.at)
+        m = _WORD.match(self.text, self.at)
         self.at = m.end() if m else self.at
         return m.group() if m else ""
 
     def group(self, close: str) -> str | None:
         """What lies between the sign here and the close that fits it, braces within counted; None if it never closes."""
-        depth, start, k = 0, self.at + 1, self.at + 1
-        while k < len(self.text):
-            c = self.text[k]
-            if c == "\\":
-                k += 1
-            elif depth == 0 and c == close:
-                self.at = k + 1
-                return self.text[start:k]
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-            k += 1
+        depth, start = 0, self.at + 1
+        for m in _SIGN.finditer(self.text, start):
+            c = m.group()
+            if depth == 0 and c == close:
+                self.at = m.end()
+                return self.text[start : m.start()]
+            depth += (c == "{") - (c == "}")
         self.at = len(self.text)
         return None
 
@@ -76,6 +80,11 @@ def bibtex_entry(text: str) -> tuple[str, str | None, list[tuple[str, list[tuple
         key = c.word()
     fields, complete = [], False
     while (sign := c.skip(",")) not in ("", "}", ")"):
+        if m := _PLAIN.match(text, c.at):  # a field of one part, by far the most frequent: the same at once
+            name, braced, quoted, word = m.groups()
+            fields.append((name.lower(), [((word, None) if word.isdigit() else (None, word.lower())) if word else (quoted if braced is None else braced, None)]))
+            c.at, complete = m.end(), True
+            continue
         name = c.word().lower()
         if not name or c.skip() != "=":
             break
@@ -100,11 +109,21 @@ def bibtex_entry(text: str) -> tuple[str, str | None, list[tuple[str, list[tuple
     return kind, key, fields, c.skip(",") in ("}", ")") and (complete or not fields)
 
 
-@F.pandas_udf(ENTRY)
-def _entry(raw: pd.Series) -> pd.DataFrame:
-    rows = [bibtex_entry(s or "") for s in raw]
-    fields = [[{"name": n, "parts": [{"text": t, "macro": m} for t, m in parts]} for n, parts in r[2]] for r in rows]
-    return pd.DataFrame({"kind": [r[0] for r in rows], "key": [r[1] for r in rows], "fields": fields, "complete": [r[3] for r in rows]})
+def _lists(items: list[list], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, items)]), pa.int32()), values)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file and bibtex_entry of each text; as a map over batches, since a filter on a function's result would call it twice. But for strings, of a name only the first field with a value is kept."""
+    for batch in batches:
+        rows = [bibtex_entry(s or "") for s in batch.column(1).to_pylist()]
+        fields = [r[2] if r[0] == "string" else list({n: (n, p) for n, p in reversed(r[2]) if p}.values()) for r in rows]
+        flat = [f for held in fields for f in held]
+        parts = [p for _, ps in flat for p in ps]
+        part = pa.StructArray.from_arrays([pa.array([t for t, _ in parts], pa.string()), pa.array([m for _, m in parts], pa.string())], ["text", "macro"])
+        field = pa.StructArray.from_arrays([pa.array([n for n, _ in flat], pa.string()), _lists([ps for _, ps in flat], part)], ["name", "parts"])
+        kind, key, complete = pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), kind, key, _lists(fields, field), complete], ["file", *ENTRY.names])
 
 
 def _macros(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,19 +146,19 @@ def bibtex_entries(raw: DataFrame) -> DataFrame:
     complete (false where braces or quotes do not close). Values have single spaces and no braces; parts joined by `#` are
     one value; macros of the same file are put in, unknown ones are empty. Strings, comments,
     preambles and text outside of records give no row."""
-    parsed = raw.select("file", _entry("text").alias("e")).select("file", "e.*").where("kind rlike '^[a-z]+$'")
-    strings = parsed.where("kind = 'string'").select("file", F.explode("fields").alias("f")).select("file", "f.name", "f.parts")
+    # strings are told by how they begin, so each record is taken apart once; entries meet the macros of their file as one map
+    said = F.coalesce(F.col("text").rlike(_STRING), F.lit(False))
+    parsed = lambda rows: rows.select("file", "text").mapInArrow(_entries, StructType([StructField("file", StringType()), *ENTRY]))
+    strings = parsed(raw.where(said)).where("kind = 'string'").select("file", F.explode("fields").alias("f")).select("file", "f.name", "f.parts")
     macros = strings.groupBy(F.pmod(F.xxhash64("file"), F.lit(FILE_GROUPS))).applyInPandas(_macros, "file string, macro string, value string")
-    entries = parsed.where("key is not null").withColumn("row", F.monotonically_increasing_id())
-    parts = entries.select("file", "row", F.posexplode("fields").alias("n", "f")).select("file", "row", "n", "f.name", F.posexplode("f.parts").alias("k", "p"))
-    month = F.when(F.col("p.macro").isin(MONTHS), F.initcap("p.macro"))
-    told = parts.select("file", "row", "n", "name", "k", "p.text", F.col("p.macro").alias("macro"), month.alias("month")).join(macros, ["file", "macro"], "left")
-    text = F.coalesce("text", "value", "month", F.lit(""))
-    value = told.groupBy("row", "n", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda s: s["t"]), "").alias("v"))
-    clean = F.btrim(F.regexp_replace(F.regexp_replace("v", r"(?<!\\)[{}]", ""), r"\s+", " "))
-    first = value.groupBy("row", "name").agg(F.min(F.struct("n", clean.alias("v")))["v"].alias("v"))
-    maps = first.groupBy("row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "v")))).alias("map"))
-    return entries.select("file", "kind", "key", "complete", "row").join(maps, "row", "left").select("file", "kind", "key", F.coalesce("map", F.create_map().cast("map<string,string>")).alias("fields"), "complete")
+    given = macros.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("macro", "value"))).alias("given"))
+    entries = parsed(raw.where(~said)).where("kind rlike '^[a-z]+$' and key is not null").join(given.hint("merge"), "file", "left")
+    month = lambda m: F.when(m.isin(MONTHS), F.initcap(m))
+    text = lambda p: F.coalesce(p["text"], F.try_element_at("given", p["macro"]), month(p["macro"]), F.lit(""))
+    value = lambda f: F.array_join(F.transform(f["parts"], text), "")
+    clean = lambda v: F.btrim(F.regexp_replace(F.regexp_replace(v, r"(?<!\\)[{}]", ""), r"\s+", " "))
+    told = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), clean(value(f)).alias("v")))
+    return entries.select("file", "kind", "key", F.map_from_entries(F.array_sort(told)).alias("fields"), "complete")
 
 
 def _names(raw: Column) -> Column:
