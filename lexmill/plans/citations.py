@@ -20,14 +20,18 @@ from lexmill.sources.tables import table
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL)""".replace(" in {braces} of ", " in braces of "))
 def bibtex_records(spark: SparkSession, d: str) -> DataFrame:
     """Each order as BibTeX text of its lines, with a macro, read record by record."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_shipdate").alias("t"))
+    # dealt by order once, so that lines and then orders are grouped where they are
+    dealt = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").repartition("l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_shipdate").alias("t"))
     kind = F.when(F.col("l_linenumber") % 2 == 0, "Book").otherwise("article")
-    text = F.format_string(
-        "@%s{l%d,\n title = {Part %d in {{braces} of} %d}, author = {Supplier%d and Clerk},\n year = %d, journal = o # \", part \" # %d,\n pages = \"%d--{%d}\"}\n",
-        kind, F.col("l_linenumber"), F.col("p"), F.col("s"), F.col("s"), F.year("t"), F.col("l_linenumber"), F.col("p"), F.col("p") + F.col("s"),
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("null")) for x in parts])
+    line, part, supplier = F.col("l_linenumber"), F.col("p"), F.col("s")
+    text = said(
+        "@", kind, "{l", line, ",\n title = {Part ", part, " in {{braces} of} ", supplier, "}, author = {Supplier", supplier, " and Clerk},\n year = ", F.year("t"),
+        ", journal = o # \", part \" # ", line, ",\n pages = \"", part, "--{", part + supplier, "}\"}\n",
     )
-    files = lines.groupBy("l_orderkey").agg(F.concat(F.format_string("@string{o = {Orders} # { of %d}}\n", F.col("l_orderkey")), F.array_join(F.array_sort(F.collect_list(text)), "")).alias("text"))
-    told = B.bibtex_citations(B.bibtex_entries(B.bibtex_text(files, "l_orderkey", "text")))
+    files = lines.groupBy("l_orderkey").agg(F.concat(said("@string{o = {Orders} # { of ", F.col("l_orderkey"), "}}\n"), F.array_join(F.sort_array(F.collect_list(text)), "")).alias("text"))
+    told = B.bibtex_files(files, "l_orderkey", "text")
     return told.select("file", "key", "type", "title", F.transform("authors", lambda a: a["family"]).alias("families"), "year", "container_title", "page", "status")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,12 @@ _BLANK = {"": re.compile(r"\s*"), ",": re.compile(r"[\s,]*")}
 _WORD = re.compile(r"[^\s{}(),=#\"]+")
 _SIGN = re.compile(r"\\.|[{}\"]", re.S)  # an escaped sign is one of its own
 _INNER = r"\{(?:[^{}\\]++|\{[^{}\\]*+\})*+\}"  # braces within a value, two deep
-_PLAIN = re.compile(rf"""([^\s{{}}(),=#"]+)\s*=\s*(?:\{{((?:[^{{}}\\]++|{_INNER})*+)\}}|"((?:[^"{{}}\\]++|{_INNER})*+)"|([^\s{{}}(),=#"]++))\s*(?=[,}})])""")
+_NAME, _BRACED, _QUOTED = r"[^\s{}(),=#\"]+", rf"\{{((?:[^{{}}\\]++|{_INNER})*+)\}}", rf'"((?:[^"{{}}\\]++|{_INNER})*+)"'
+_VALUE = rf"(?:{_BRACED}|{_QUOTED}|({_NAME}))"
+_FIELDS = re.compile(rf"(({_NAME})\s*=\s*(?:{_VALUE}(?=\s*[,}})])|({_VALUE}(?:\s*#\s*{_VALUE})+))\s*(?:,[\s,]*|(?=[}})])))")  # what it takes up, name, one part, or parts
+_PARTS = re.compile(rf"{_VALUE}\s*(?:#\s*)?")
+_HEAD, _KEY = re.compile(rf"\s*({_NAME})\s*[{{(][\s]*"), re.compile(r"([^\s{}(),=#\"]*)[\s,]*")
+_COMMAS = re.compile(r"[\s,]*")
 _STRING = r"(?i)^[\s\p{Z}\x1c-\x1f\x85]*string[\s\p{Z}\x1c-\x1f\x85]*[{(]"
 
 
@@ -64,8 +70,40 @@ class _Cursor:
         return None
 
 
+def _part(braced: str, quoted: str, word: str) -> tuple[str | None, str | None]:
+    return ((word, None) if word.isdigit() else (None, word.lower())) if word else (braced or quoted, None)
+
+
+def _plain_fields(text: str) -> tuple[str, str | None, list[tuple[str, ...]]] | None:
+    """(kind, key, matches of _FIELDS) of a record whose fields follow on each other to its end, by far the most; None for others."""
+    if not (m := _HEAD.match(text)):
+        return None
+    kind, at, key = m.group(1).lower(), m.end(), None
+    if kind in ("comment", "preamble"):
+        return kind, None, []
+    if kind == "string":
+        at = _COMMAS.match(text, at).end()
+    else:
+        m = _KEY.match(text, at)
+        key, at = m.group(1), m.end()
+    found = _FIELDS.findall(text, at)
+    taken = "".join([f[0] for f in found])
+    end = at + len(taken)
+    return (kind, key, found) if text[end : end + 1] in ("}", ")") and text.startswith(taken, at) else None
+
+
+def _plain_entry(text: str) -> tuple[str, str | None, list[tuple[str, list[tuple[str | None, str | None]]]], bool] | None:
+    """bibtex_entry of such a record."""
+    if plain := _plain_fields(text):
+        kind, key, found = plain
+        return kind, key, [(name.lower(), [_part(*p) for p in _PARTS.findall(parts)] if parts else [_part(braced, quoted, word)]) for _, name, braced, quoted, word, parts, *_ in found], True
+    return None
+
+
 def bibtex_entry(text: str) -> tuple[str, str | None, list[tuple[str, list[tuple[str | None, str | None]]]], bool]:
     """(kind, key, fields, whether it is complete) of a record after its `@`; of a field name and parts, (text, macro) each."""
+    if plain := _plain_entry(text):
+        return plain
     c = _Cursor(text)
     c.skip()
     kind = c.word().lower()
@@ -80,11 +118,6 @@ def bibtex_entry(text: str) -> tuple[str, str | None, list[tuple[str, list[tuple
         key = c.word()
     fields, complete = [], False
     while (sign := c.skip(",")) not in ("", "}", ")"):
-        if m := _PLAIN.match(text, c.at):  # a field of one part, by far the most frequent: the same at once
-            name, braced, quoted, word = m.groups()
-            fields.append((name.lower(), [((word, None) if word.isdigit() else (None, word.lower())) if word else (quoted if braced is None else braced, None)]))
-            c.at, complete = m.end(), True
-            continue
         name = c.word().lower()
         if not name or c.skip() != "=":
             break
@@ -126,19 +159,29 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), kind, key, _lists(fields, field), complete], ["file", *ENTRY.names])
 
 
+def _values(given: dict[str, list[tuple[str | None, str | None]]]) -> dict[str, str]:
+    """Macros of a file, by name the parts, with the macros within them put in."""
+
+    def value(name: str, above: frozenset) -> str:
+        if name not in given or name in above:
+            return name.capitalize() if name in MONTHS else ""
+        return "".join(t if t is not None else value(m, above | {name}) for t, m in given[name])
+
+    return {n: value(n, frozenset()) for n in given}
+
+
 def _macros(pdf: pd.DataFrame) -> pd.DataFrame:
     """Macros of some files with the macros within them put in; of a name given twice in a file the first value by order counts."""
     given: dict[str, dict[str, list]] = {}
-    for file, name, parts in sorted(zip(pdf["file"], pdf["name"], pdf["parts"], strict=True), key=lambda x: (x[0], x[1], str(list(x[2])))):
-        given.setdefault(file, {}).setdefault(name, list(parts))
+    for file, name, parts in sorted(((f, n, [(p["text"], p["macro"]) for p in ps]) for f, n, ps in zip(pdf["file"], pdf["name"], pdf["parts"], strict=True)), key=_order):
+        given.setdefault(file, {}).setdefault(name, parts)
+    rows = [(f, n, v) for f, names in given.items() for n, v in _values(names).items()]
+    return pd.DataFrame(rows, columns=["file", "macro", "value"])
 
-    def value(file: str, name: str, above: frozenset) -> str:
-        if name not in given[file] or name in above:
-            return name.capitalize() if name in MONTHS else ""
-        return "".join(p["text"] if p["text"] is not None else value(file, p["macro"], above | {name}) for p in given[file][name])
 
-    rows = [(f, n, value(f, n, frozenset())) for f, names in given.items() for n in names]
-    return pd.DataFrame(rows, columns=["file", "macro", "value"])
+def _order(given: tuple[str, str, list]) -> tuple[str, str, str]:
+    """Of a macro given twice, the order of its values."""
+    return given[0], given[1], str([{"text": t, "macro": m} for t, m in given[2]])
 
 
 def bibtex_entries(raw: DataFrame) -> DataFrame:
@@ -188,6 +231,106 @@ def bibtex_citations(entries: DataFrame) -> DataFrame:
     return _told(entries, F.coalesce(kinds[F.col("kind")], F.lit("unknown")), get("title"), authors, get("year"), same, F.col("complete"))
 
 
+_BRACE, _SPACES = re.compile(r"(?<!\\)[{}]"), re.compile(r"[ \t\n\x0b\f\r]+")  # white space as Spark's patterns have it
+_ODD = re.compile(r"[\t\n\x0b\f\r]|  ")
+_AND, _FOUR = re.compile(r"[ \t\n\x0b\f\r]+[aA][nN][dD][ \t\n\x0b\f\r]+"), re.compile("[0-9]{4}")
+_TYPE = re.compile("[a-z]+")
+_BEGIN = re.compile(r"\n[ \t]*@")
+_PERSON = pa.struct([("family", pa.string()), ("given", pa.string())])
+
+
+def _clean(v: str) -> str:
+    if "{" in v or "}" in v:
+        v = _BRACE.sub("", v) if "\\" in v else v.replace("{", "").replace("}", "")
+    if _ODD.search(v):
+        v = _SPACES.sub(" ", v)
+    return v.strip(" ")
+
+
+@lru_cache(1 << 14)
+def _people(raw: str) -> list[tuple[str, str | None]]:
+    """_names of a cleaned value."""
+    out = []
+    for name in _AND.split(raw):
+        told = _SPACES.sub(" ", name).strip(" ")
+        if told:
+            family, comma, given = name.partition(",") if "," in name else (told.rpartition(" ")[2], "", told.rpartition(" ")[0])
+            out.append((_SPACES.sub(" ", family).strip(" "), _SPACES.sub(" ", given).strip(" ") or None))
+    return out
+
+
+def _file_citations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, text of whole files as the rows of bibtex_citations, some thousand records at a time."""
+    names = list(dict.fromkeys(FIELDS.values()))
+    sources = [[b for b, n in FIELDS.items() if n == t] for t in names]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        file, key, kind, title, people, year, fields, status, warnings = zip(*rows, strict=True)
+        flat = [p for ps in people for p in ps]
+        persons = pa.StructArray.from_arrays([pa.array([f for f, _ in flat], pa.string()), pa.array([g for _, g in flat], pa.string())], fields=list(_PERSON))
+        told = [pa.array(c, pa.string()) for c in zip(*fields, strict=True)]
+        noted = pa.array(warnings, pa.list_(pa.string()))
+        columns = [pa.array(file, pa.string()), pa.array(key, pa.string()), pa.array(kind, pa.string()), pa.array(title, pa.string()), _lists(people, persons), pa.array(year, pa.int32()), *told, pa.array(status, pa.string()), noted]
+        return pa.RecordBatch.from_arrays(columns, ["file", "key", "type", "title", "authors", "year", *names, "status", "warnings"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if text is None:
+                continue
+            given: list[tuple[str, str, list]] = []
+            entries = []
+            for piece in _BEGIN.split("\n" + text):
+                plain = _plain_fields(piece)
+                if plain and plain[0] != "string":
+                    kind, key, parts = plain
+                    complete = True
+                else:
+                    kind, key, parts, complete = bibtex_entry(piece)
+                if kind == "string":
+                    given += [(file or "", n, p) for n, p in parts]
+                elif key is not None and _TYPE.fullmatch(kind):
+                    entries.append((kind, key, parts, complete, plain))
+            macros: dict[str, list] = {}
+            for _, name, parts in sorted(given, key=_order) if len(given) > 1 else given:
+                macros.setdefault(name, parts)
+            known = _values(macros)
+
+            def said(ps: list[tuple[str | None, str | None]], known=known) -> str:
+                return "".join([t if t is not None else known[m] if m in known else m.capitalize() if m in MONTHS else "" for t, m in ps])
+
+            for kind, key, parts, complete, plain in entries:
+                held: dict[str, str] = {}
+                if plain:
+                    for _, name, braced, quoted, word, several, *_ in parts:
+                        if (name := name.lower()) not in held:
+                            held[name] = _clean(said([_part(*p) for p in _PARTS.findall(several)]) if several else (word if word.isdigit() else said([(None, word.lower())])) if word else braced or quoted)
+                else:
+                    for name, ps in parts:
+                        if ps and name not in held:
+                            held[name] = _clean(said(ps))
+                people = _people(held.get("author", ""))
+                number = _FOUR.search(held.get("year", ""))
+                title = held.get("title") or None
+                fields = [(held.get(of[0]) if len(of) == 1 or of[0] in held else next((held[b] for b in of if b in held), None)) or None for of in sources]
+                noted = ["missing_title"] if title is None else [w for w, bad in (("incomplete", not complete), ("missing_authors", not people), ("missing_year", number is None)) if bad]
+                status = "failed" if title is None else "partial" if noted else "parsed"
+                rows.append((file, key, TYPES.get(kind, "unknown"), title, people, int(number.group()) if number else None, fields, status, noted))
+                if len(rows) == 8192:
+                    yield table(rows)
+                    rows = []
+    if rows:
+        yield table(rows)
+
+
+def bibtex_files(df: DataFrame, file: str, text: str) -> DataFrame:
+    """bibtex_citations of rows that hold a whole file each, its macros with it: no file may have two rows. A row is taken apart
+    in one pass where it stands, so nothing is shuffled."""
+    out = "file string, key string, type string, title string, authors array<struct<family: string, given: string>>, year int, "
+    out += "".join(f"{n} string, " for n in dict.fromkeys(FIELDS.values())) + "status string, warnings array<string>"
+    return df.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).mapInArrow(_file_citations, out)
+
+
 def ris_citations(raw: DataFrame) -> DataFrame:
     """raw (file, text: a RIS record up to its ER line) as citations; of a tag the first line counts, but for authors and
     the parts of a title. Records without a tag give no row."""

@@ -101,3 +101,48 @@ def test_entries_are_taken_apart_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan and "monotonically" not in plan and "Generate posexplode" not in plan  # strings and the others
     assert {r.key: r.fields for r in df.collect()} == {"a": {"m": "Jan!", "t": "Of x z"}, "b": {"t": ""}, "c": {}}
+
+
+ODD = [
+    BIB,
+    None,
+    "",
+    "no record",
+    "misc{not, title = {text ahead}}\n@article{k, Title={t}, title={later}, author={ Ann  Lee and , and Bo,  C and and D}, year={in 2001 or 1999}, journal={}, booktitle={B}, number=7}",
+    "@string{a = b # {x}}\n@string{b = a # \"y\"}\n@STRING(a = {z})\n@book(p, title = a # b # jan # nothing, year = 12, publisher = {Two\n\t lines \\{kept\\} {off}}, address = a)",
+    "@article{q, title = {open, year = 2000}\n  @misc{r, title = \"q {\"} u\", author = {A and B and C D}, doi = {10.1/é}, url = , language = 5}\n@9x{s, title={t}}\n@misc{, title={no key}}\n@misc{u}",
+    "@article{w, title = {a} {b}, year = 2000}\n@article{x, title = {a}, , year = 2000,, month = mar} rest\n@article{y, title = dec # \" and \" # may) \n@preamble{\"x\"}\n@comment{z, title={c}}",
+]
+
+
+def test_whole_files_equal_records(spark):
+    # former version of the query: a row a record, four shuffles, macros joined as maps
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(100 + i, f"@string{{m = {{M{i}}}}}\n" + "".join(f"@article{{k{j},\n title = {{T {{{j}}}}}, author = {{A {j} and B}}, year = {1900 + j}, journal = m # \", \" # {j}}}\n" for j in range(i))) for i in range(60)], "file int, text string")
+    whole, plain = B.bibtex_files(df, "file", "text"), B.bibtex_citations(B.bibtex_entries(B.bibtex_text(df, "file", "text")))
+    assert whole.dtypes == plain.dtypes
+    got, want = (sorted(map(repr, x.collect())) for x in (whole, plain))
+    assert got == want and len(got) > 1770
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert B.bibtex_files(df.limit(0), "file", "text").count() == 0
+
+
+def test_query_shuffles_lines_once(spark, sf):
+    from lexmill.plans.citations import bibtex_records
+
+    plan = bibtex_records(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_plain_records_equal_the_cursor(monkeypatch):
+    import random
+
+    random.seed(5)
+    signs = ["{", "}", "(", ")", '"', ",", "=", "#", " ", "\n", "\\", "\\}", "a", "title", "1", "macro", "{x}", '"q"', "{a {b} c}", " # ", "é", "\x1c"]
+    texts = ["".join(random.choice(["a = {x}", 'b= "y"', "c =1", "d = m # {z}", ' e = {n {i} } # 2 # "w"']) + random.choice([", ", ",", ",,\n", " ", "", " #"]) for _ in range(random.randint(0, 4))) for _ in range(3000)]
+    texts = [random.choice(["article{k, ", "string{", "misc(", "book{k"]) + t + random.choice(["}", ")", "", " } x", "}}"]) for t in texts]
+    texts += [t[:i] + random.choice(signs) + t[i:] for t in texts for i in [random.randrange(len(t) + 1)]]
+    at_once = [B.bibtex_entry(t) for t in texts]
+    assert sum(B._plain_entry(t) is not None for t in texts) > 1000
+    monkeypatch.setattr(B, "_plain_entry", lambda _: None)
+    assert [B.bibtex_entry(t) for t in texts] == at_once
